@@ -41,7 +41,9 @@ MAX_INTEGER_DIGITS = 26
 
 def bare_amount(c: Column) -> Column:
     """Amount text without outer whitespace and without underscores."""
-    return F.replace(strip(ascii_digits(c)), F.lit("_"))
+    return F.when(c.rlike(r"\A[0-9]+\.[0-9]{2}\z"), c).otherwise(
+        F.replace(strip(ascii_digits(c)), F.lit("_"))
+    )
 
 
 def is_amount_syntax(bare: Column) -> Column:
@@ -126,6 +128,7 @@ def to_cents(amount: Column) -> Column:
 # int() keeps the four ASCII separators \x1c-\x1f, unlike strip().
 _INT_WS = WS.replace(r"\s", r"\t-\r ").replace(r"\x1c-\x1f", "")
 WHOLE = rf"\A[{_INT_WS}]*[+-]?[0-9](?:[0-9_]*[0-9])?[{_INT_WS}]*\z"
+SHORT_COUNT = r"\A[0-9]{1,9}\z"
 # Fixed value: int() refuses longer digit strings.
 MAX_INT_DIGITS = 4300
 
@@ -135,12 +138,13 @@ def is_whole_number(c: Column) -> Column:
     ascii_only = ascii_digits(c)
     few = F.length(F.regexp_replace(ascii_only, "[^0-9]", "")) <= MAX_INT_DIGITS
     single = ~F.contains(ascii_only, F.lit("__"))
-    return ascii_only.rlike(WHOLE) & single & ((F.length(c) <= MAX_INT_DIGITS) | few)
+    any_form = ascii_only.rlike(WHOLE) & single & ((F.length(c) <= MAX_INT_DIGITS) | few)
+    return F.when(c.rlike(SHORT_COUNT), True).otherwise(any_form)
 
 
 def parse_days(c: Column) -> Column:
     """Whole number as bigint; null where it does not fit."""
-    return F.when(
-        is_whole_number(c),
-        F.regexp_replace(ascii_digits(c), "[^0-9+-]", "").try_cast("bigint"),
+    digits = F.regexp_replace(ascii_digits(c), "[^0-9+-]", "")
+    return F.when(c.rlike(SHORT_COUNT), c.try_cast("bigint")).when(
+        is_whole_number(c), digits.try_cast("bigint")
     )

@@ -10,13 +10,14 @@ from docproof.functions.parsing import is_whole_number, parse_days, parse_iso_da
 from docproof.functions.predicates import (
     due_date_overflows,
     iban_check_fails,
+    iban_digits,
+    is_checksum_ok,
     is_iban_like,
     is_issue_date_plausible,
     is_known_iban_country,
     is_payment_after_issue,
     is_payment_consistent,
     is_valid_currency_code,
-    is_valid_iban,
 )
 from docproof.functions.reference_data import CURRENCIES, IBAN_LENGTHS
 from docproof.functions.text import is_absent, is_present
@@ -38,9 +39,9 @@ def with_typed_fields(df: DataFrame, iban_lengths=IBAN_LENGTHS) -> DataFrame:
             "_days": parse_days(F.col("payment_terms_days")),
             "_days_readable": F.coalesce(is_whole_number(F.col("payment_terms_days")), F.lit(False)),
             "_iban_like": is_iban_like(account),
-            "_iban_valid": is_valid_iban(account, iban_lengths),
+            "_iban_digits": iban_digits(account, iban_lengths),
         }
-    )
+    ).withColumn("_iban_valid", is_checksum_ok(F.col("_iban_digits")))
 
 
 def rules(ref_date: Column, iban_lengths, currencies) -> list[Rule]:

@@ -6,6 +6,10 @@ from docproof.schema import FIELDS
 from docproof.session import prepare
 
 
+# The type of a sound response, as Spark spells it: known fields only, each text or null.
+RECORD_TYPE = rf"\AOBJECT<(?:(?:{'|'.join(FIELDS)}): (?:STRING|VOID)(?:, |(?=>\z)))*>\z"
+
+
 def one_response_per_path(responses: DataFrame) -> DataFrame:
     """(path, output_text, n_responses): equal paths are merged before the shuffle, not collected."""
     return responses.groupBy("path").agg(
@@ -21,30 +25,24 @@ def ingest_responses(responses: DataFrame) -> DataFrame:
     the text is parsed inside brackets and inside an object: only a lone value fits both.
     """
     prepare(responses.sparkSession)
+    alone = F.json_object_keys(F.concat(F.lit('{"w":'), "output_text", F.lit("}"))) == F.array(F.lit("w"))
     parsed = (
         responses.withColumn(
-            "_in_array",
+            "_array",
             F.expr("try_variant_get(try_parse_json(concat('[', output_text, ']')), '$', 'array<variant>')"),
         )
-        .withColumn(
-            "_in_object",
-            F.expr("try_variant_get(try_parse_json(concat('{\"w\":', output_text, '}')), '$', 'map<string,variant>')"),
-        )
-        .withColumn("_value", F.when((F.size("_in_array") == 1) & (F.size("_in_object") == 1), F.get("_in_array", 0)))
-        .withColumn("_keys", F.map_keys(F.expr("try_variant_get(_value, '$', 'map<string,variant>')")))
-    )
-    types = [F.coalesce(F.expr(f"schema_of_variant(try_variant_get(_value, '$.{f}', 'variant'))"), F.lit("VOID")) for f in FIELDS]
-    not_text = F.array_join(
-        F.array_compact(F.array(*[F.when(~t.isin("STRING", "VOID"), f) for f, t in zip(FIELDS, types)])), ", "
+        .withColumn("_value", F.when((F.size("_array") == 1) & alone, F.get("_array", F.lit(0))))
+        .withColumn("_type", F.expr("schema_of_variant(_value)"))
     )
-    unknown = F.array_join(F.array_except("_keys", F.array(*map(F.lit, FIELDS))), ", ")
-    checked = parsed.withColumns({"_unknown": unknown, "_not_text": not_text})
-    error = (
-        F.when(F.col("_keys").isNull(), "ResponseError: not a JSON object")
-        .when(F.col("_unknown") != "", F.concat(F.lit("ResponseError: unknown field "), "_unknown"))
-        .when(F.col("_not_text") != "", F.concat(F.lit("ResponseError: not text: "), "_not_text"))
+    # Only reached by values of another type.
+    keys = F.expr("map_keys(try_variant_get(_value, '$', 'map<string,variant>'))")
+    unknown = F.array_join(F.array_except(keys, F.array(*map(F.lit, FIELDS))), ", ")
+    others = (
+        F.when(keys.isNull(), "ResponseError: not a JSON object")
+        .when(unknown != "", F.concat(F.lit("ResponseError: unknown field "), unknown))
+        .otherwise("ResponseError: a field is not text")
     )
-    ready = checked.withColumn("error", error)
+    ready = parsed.withColumn("error", F.when(~F.coalesce(F.col("_type").rlike(RECORD_TYPE), F.lit(False)), others))
     return ready.select(
         *[c for c in responses.columns if c != "output_text"],
         *[
