@@ -45,11 +45,7 @@ def _worst(field: str):
 def field_severity(results: DataFrame) -> DataFrame:
     """(path, field, severity) for each field with issues; issues of the whole document have no row."""
     rated = F.array(*[F.struct(F.lit(f).alias("field"), _worst(f).alias("severity")) for f in FIELDS])
-    return (
-        results.filter(F.size("issues") > 0)
-        .select("path", F.inline(rated))
-        .filter(F.col("severity").isNotNull())
-    )
+    return results.select("path", F.inline(rated)).filter(F.col("severity").isNotNull())
 
 
 def field_review(results: DataFrame) -> DataFrame:

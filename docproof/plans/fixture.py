@@ -6,6 +6,7 @@ The plan is written down in FIXTURES.md, part B. ``k`` is the order key, ``k % 5
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docproof.schema import FIELDS
+from docproof.session import spread
 
 REF_DATE = "2026-07-04"
 VENDORS = 10
@@ -32,6 +33,7 @@ def clean_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("issued")
     )
+    orders = spread(orders, "o_orderkey")
     # s_suppkey is the key of supplier, so the filter leaves at most ten rows to broadcast.
     vendors = read(spark, sf_dir, "supplier").filter(F.col("s_suppkey") < VENDORS)
     nations = read(spark, sf_dir, "nation")
