@@ -128,15 +128,16 @@ def _letters_as_numbers(c: Column) -> Column:
     )
 
 
-def _lookup_key(cleaned: Column) -> Column:
-    return F.concat(F.left(cleaned, F.lit(2)), F.length(cleaned).cast("string"))
+def one_of(c: Column, values) -> Column:
+    """Membership in a fixed list of codes, which travels as one literal."""
+    return F.coalesce(F.find_in_set(c, F.lit(",".join(values))) > 0, F.lit(False))
 
 
 def _length_ok(cleaned: Column, lengths: dict[str, int]) -> Column:
     """Unlisted country, or the length its country asks for."""
-    return ~F.left(cleaned, F.lit(2)).isin(*lengths) | _lookup_key(cleaned).isin(
-        *[f"{country}{length}" for country, length in lengths.items()]
-    )
+    country = F.left(cleaned, F.lit(2))
+    listed = [f"{code}{length}" for code, length in lengths.items()]
+    return ~one_of(country, lengths) | one_of(F.concat(country, F.length(cleaned).cast("string")), listed)
 
 
 def is_iban_like(account: Column) -> Column:
@@ -179,19 +180,19 @@ def iban_check_fails(account: Column, lengths: dict[str, int] = IBAN_LENGTHS) ->
 def lookup_country_length(account: Column, lengths: dict[str, int] = IBAN_LENGTHS) -> Column:
     """The length an account's country asks for; null when the country is not listed."""
     country = F.left(clean_account(account), F.lit(2))
-    table = F.create_map(*[F.lit(x) for pair in lengths.items() for x in pair])
-    return F.try_element_at(table, country)
+    table = F.str_to_map(F.lit(",".join(f"{code}:{length}" for code, length in lengths.items())))
+    return F.try_element_at(table, country).cast("int")
 
 
 def is_known_iban_country(account: Column, lengths: dict[str, int] = IBAN_LENGTHS) -> Column:
-    return F.coalesce(F.left(clean_account(account), F.lit(2)).isin(*lengths), F.lit(False))
+    return one_of(F.left(clean_account(account), F.lit(2)), lengths)
 
 
 # ---------------------------------------------------------------- currency and dates
 
 def is_valid_currency_code(currency: Column, currencies=CURRENCIES) -> Column:
     """Exact match, upper case only."""
-    return F.coalesce(currency.isin(*sorted(currencies)), F.lit(False))
+    return one_of(currency, sorted(currencies))
 
 
 def is_issue_date_plausible(issue_date: Column, ref_date: Column) -> Column:

@@ -140,8 +140,12 @@ def apply_rules(
         lambda acc, r: acc.bitwiseOR(F.when(r.fires, F.lit(1 << r.no)).otherwise(0)), table, F.lit(0)
     )
     errors = sum(1 << r.no for r in table if r.severity == ERROR)
-    typed = with_typed_fields(df, iban_lengths).withColumn("fired", fired)
-    typed = typed.withColumn("error", F.coalesce("error", evaluation_error(iban_lengths)))
+    typed = with_typed_fields(df, iban_lengths)
+    # A one-row generator: filters on the verdict stop here, else Spark would repeat all rules
+    # inside the filter, once per place that reads their outcome.
+    outcome = F.struct(fired.alias("fired"), F.coalesce("error", evaluation_error(iban_lengths)).alias("error"))
+    columns = [c for c in typed.columns if c != "error"]
+    typed = typed.select(*columns, F.inline(F.array(outcome)))
 
     none = F.array().cast(f"array<{ISSUE.simpleString()}>")
 

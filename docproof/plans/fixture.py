@@ -6,7 +6,7 @@ The plan is written down in FIXTURES.md, part B. ``k`` is the order key, ``k % 5
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docproof.schema import FIELDS
-from docproof.session import spread
+from docproof.session import shared_folder, spread, work_folder
 
 REF_DATE = "2026-07-04"
 VENDORS = 10
@@ -187,13 +187,31 @@ def edit_log(clean: DataFrame) -> DataFrame:
     return clean.filter(k % 7 == 0).select("path", F.inline(entries))
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Documents:
-    """The derived tables of one data folder."""
+    """The derived tables of one data folder, written once per application to the shared folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.clean = clean_records(spark, sf_dir)
+        key = (spark.sparkContext.applicationId, shared_folder(spark), sf_dir)
+        if key not in _STORED:
+            _STORED[key] = _store(spark, sf_dir)
+        folder = _STORED[key]
+        self.clean = spark.read.parquet(f"{folder}/clean")
+        self.faulty = spark.read.parquet(f"{folder}/faulty")
+        self.pages = spark.read.parquet(f"{folder}/pages")
+        self.responses = spark.read.parquet(f"{folder}/responses")
+        self.edits = spark.read.parquet(f"{folder}/edits")
         self.files = self.clean.select("path")
-        self.faulty = faulty_records(self.clean)
-        self.pages = page_table(self.clean)
-        self.responses = response_table(self.faulty)
-        self.edits = edit_log(self.clean)
+
+
+def _store(spark: SparkSession, sf_dir: str) -> str:
+    folder = work_folder(spark, "documents")
+    clean_records(spark, sf_dir).write.parquet(f"{folder}/clean")
+    clean = spark.read.parquet(f"{folder}/clean")
+    faulty_records(clean).write.parquet(f"{folder}/faulty")
+    page_table(clean).write.parquet(f"{folder}/pages")
+    response_table(spark.read.parquet(f"{folder}/faulty")).write.parquet(f"{folder}/responses")
+    edit_log(clean).write.parquet(f"{folder}/edits")
+    return folder
