@@ -153,7 +153,7 @@ def apply_rules(
         entry = F.struct(
             F.lit(r.no).alias("rule_no"), F.lit(r.name).alias("rule"), F.lit(r.field).alias("field"),
             r.message.alias("message"), F.lit(r.severity).alias("severity"),
-        ).cast(ISSUE)
+        )
         return F.when(F.col("fired").bitwiseAND(1 << r.no) != 0, F.array(entry)).otherwise(none)
 
     usable = F.col("error").isNull()
