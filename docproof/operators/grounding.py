@@ -21,7 +21,6 @@ from docproof.session import checkpointed
 
 # The text fields looked up in the source, in the order they are reported.
 GROUNDED = ["company_name", "invoice_number", "account", "tax_id"]
-FACTS = ["has_text", *[f"{f}_grounded" for f in GROUNDED], "amount_grounded"]
 
 
 def with_cents(df: DataFrame) -> DataFrame:

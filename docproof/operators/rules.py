@@ -21,7 +21,7 @@ from docproof.functions.predicates import (
 )
 from docproof.functions.reference_data import CURRENCIES, IBAN_LENGTHS
 from docproof.functions.text import is_absent, is_present
-from docproof.operators.grounding import FACTS, ground, with_cents
+from docproof.operators.grounding import ground, with_cents
 from docproof.schema import FIELDS, ISSUE, record_struct
 
 ERROR, WARNING = "error", "warning"
@@ -190,6 +190,3 @@ def validate(
         df = df.withColumn("error", F.lit(None).cast("string"))
     grounded = ground(with_cents(df), strict_cents)
     return apply_rules(grounded, ref_date, iban_lengths, currencies)
-
-
-__all__ = ["FACTS", "Rule", "apply_rules", "rules", "validate", "with_typed_fields"]
