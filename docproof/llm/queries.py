@@ -27,7 +27,7 @@ with recursive words as (
 ), shingles as (
   select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[]
     when len(w) = 1 then w
-    else list_transform(generate_series(1, len(w) - 1), i -> w[i] || chr(10) || w[i + 1]) end) as s from words
+    else list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || chr(10) || w[i + 1]) end) as s from words
 ), sizes as (
   select doc_id, count(*) as n from shingles group by doc_id
 ), common as (
