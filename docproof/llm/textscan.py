@@ -120,3 +120,17 @@ def as_bytes(column) -> list[bytes]:
     import pyarrow as pa
 
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
+
+
+def string_hashes(strings: list[bytes]) -> np.ndarray:
+    """One hash per string, white space and letter case included."""
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    joined = np.frombuffer(b"".join(strings), np.uint8)
+    hashes = np.zeros(len(strings), np.uint64)
+    full = lengths > 0
+    if full.any():
+        sizes = lengths[full]
+        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        within = np.arange(len(joined)) - np.repeat(first, sizes)
+        hashes[full] = np.add.reduceat(_BYTES[joined] * _powers(int(sizes.max()))[within], first)
+    return mix(hashes ^ lengths.astype(np.uint64))
