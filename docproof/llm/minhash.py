@@ -18,7 +18,7 @@ BANDS, ROWS, BITS = 32, 6, 2
 FIELDS_PER_LONG = 64 // BITS
 # The estimate's standard deviation at 0.8 is 0.034; pairs this far below are ruled out.
 MARGIN = 0.15
-BLOCK = 1024
+BLOCK = 512
 _rng = np.random.default_rng(5)
 _A = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -135,43 +135,78 @@ def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(words, percent), "a long, b long")
 
 
-def _across(lowest: float, best: int | None):
-    """Pairs of one block whose estimates reach ``lowest``, between different components only.
-
-    With ``best``, a row proposes only so many of its most similar partners in each component.
-    """
-    import pandas as pd
-
-    field = np.uint64(0x5555555555555555)
-
-    def compare(frame):
-        frame = frame.drop_duplicates(["id", "rare"])
-        rare, others = frame[frame.rare], frame[~frame.rare]
-        out_a, out_b = [], []
-        bits = np.stack(others.bits.to_numpy()).view(np.uint64) if len(others) else np.empty((0, 0), np.uint64)
-        ids, comps = others.id.to_numpy(), others.component.to_numpy()
-        for one, comp, own in zip(rare.id, rare.component, rare.bits, strict=True):
-            if not len(ids):
-                break
-            x = bits ^ np.asarray(own).view(np.uint64)
+class _Block:
+    """Rows of one bucket block: those of the bucket's largest component so far, and all others."""
+
+    def __init__(self, rows: list[dict], words: int, percent: int):
+        self.rows = list({(r["id"], r["rare"]): r for r in rows}.values())
+        self.words, self.percent, self.sets, self.parent = words, percent, {}, {}
+        self.bits = np.array([r["bits"] for r in self.rows], np.int64).view(np.uint64)
+
+    def root(self, component: int) -> int:
+        while (above := self.parent.get(component, component)) != component:
+            component = above
+        return component
+
+    def similar(self, i: int, j: int) -> bool:
+        for at in (i, j):
+            if self.rows[at]["id"] not in self.sets:
+                self.sets[self.rows[at]["id"]] = shingle_sets([self.rows[at]["text"] or b""], self.words)[0]
+        x, y = (self.sets[self.rows[at]["id"]] for at in (i, j))
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= self.percent * (len(x) + len(y) - common)
+
+    def links(self, lowest: float):
+        """Confirmed links that connect components; pairs that share an earlier bucket are left to it."""
+        field, key = np.uint64(0x5555555555555555), self.rows[0]["key"]
+        others = np.flatnonzero([not r["rare"] for r in self.rows])
+        for i in np.flatnonzero([r["rare"] for r in self.rows]):
+            x = self.bits[others] ^ self.bits[i]
             differ = np.bitwise_count((x | (x >> np.uint64(1))) & field).sum(axis=1, dtype=np.int64)
             alike = (1 - differ / (BANDS * ROWS) - 2.0**-BITS) / (1 - 2.0**-BITS)
-            found = np.flatnonzero((alike >= lowest) & (comps != comp))
-            if best is not None and len(found):
-                order = pd.DataFrame({"at": found, "comp": comps[found], "alike": -alike[found], "id": ids[found]})
-                found = order.sort_values(["alike", "id"]).groupby("comp").head(best)["at"].to_numpy()
-            out_a.extend([one] * len(found))
-            out_b.extend(ids[found])
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+            found = others[alike >= lowest]
+            one, own = self.rows[i], self.root(self.rows[i]["component"])
+            for j in found[np.argsort(-alike[alike >= lowest], kind="stable")]:
+                two = self.rows[j]
+                if self.root(two["component"]) == own:
+                    continue
+                if next(a for a, b in zip(one["bands"], two["bands"], strict=True) if a == b) != key:
+                    continue
+                if self.similar(i, j):
+                    self.parent[own] = self.root(two["component"])
+                    own = self.root(own)
+                    yield one["id"], two["id"]
+
+
+def _linker(words: int, percent: int, lowest: float):
+    """Links of all blocks of a partition whose rows come block by block."""
+    import pyarrow as pa
+
+    def batch_of(rows):
+        pairs = list(_Block(rows, words, percent).links(lowest))
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches):
+        waiting, block = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["key"], row["block"], row["chunk"]) != block:
+                    if waiting:
+                        yield batch_of(waiting)
+                    waiting, block = [], (row["key"], row["block"], row["chunk"])
+                waiting.append(row)
+        if waiting:
+            yield batch_of(waiting)
 
-    return compare
+    return run
 
 
-def _cross_candidates(shared: DataFrame, bits: DataFrame, comps: DataFrame, lowest: float, best: int | None) -> DataFrame:
-    """Candidate pairs (a, b) between rows of one bucket that are in different components so far.
+def _cross_links(shared: DataFrame, payload: DataFrame, comps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between rows of one bucket that are in different components so far.
 
     Rows outside a bucket's largest component are compared with all rows of the bucket, in blocks;
-    rows inside it need no comparison with each other, because they are connected already.
+    rows inside it need no comparison with each other, because they are connected already. Only
+    links that connect something are written out.
     """
     rows = _with_component(shared, comps)
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -186,20 +221,21 @@ def _cross_candidates(shared: DataFrame, bits: DataFrame, comps: DataFrame, lowe
             F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("chunks"),
         )
     )
-    mixed = join_hot(rows, buckets, ["key"], "id").join(bits, "id")
-    spot = F.xxhash64("id")
+    mixed = stored(join_hot(rows, buckets, ["key"], "id"), "mixed")
     every = mixed.select(
-        "key", "id", "component", "bits", F.lit(False).alias("rare"),
-        F.pmod(spot, F.col("blocks")).cast("int").alias("block"),
+        "key", "id", "component", F.lit(False).alias("rare"),
+        F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
     )
     rare = mixed.filter(F.col("component") != F.col("main")).select(
-        "key", "id", "component", "bits", F.lit(True).alias("rare"),
+        "key", "id", "component", F.lit(True).alias("rare"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"),
     )
-    pairs = every.unionByName(rare).groupBy("key", "block", "chunk").applyInPandas(_across(lowest, best), "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    block = ["key", "block", "chunk"]
+    dealt = every.unionByName(rare).join(payload, "id").repartition(*block).sortWithinPartitions(*block)
+    columns = [*block, "id", "component", "rare", "bits", "bands", F.col("text").cast("binary").alias("text")]
+    return dealt.select(*columns).mapInArrow(_linker(words, percent, percent / 100 - MARGIN), "a long, b long")
 
 
 def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -218,14 +254,13 @@ def near_duplicates(
 
     1. in each band bucket all rows are paired with the smallest; what the bit counts do not rule
        out is confirmed, and the links give first components;
-    2. in buckets that still hold different components, each row outside the largest is paired with
-       its most similar rows of every other component, and then, after these are confirmed,
-    3. with all rows whose estimate allows a link. So no bucket is cut, and pairs inside a group
-       that is already connected are never written out.
+    2. in buckets that still hold different components, each row outside the largest meets all
+       rows whose estimate allows a link, block by block, and links are confirmed on the spot. So no
+       bucket is cut, and pairs are never written out, only links that connect something.
 
     Null, empty and blank texts have no shingles and link with nothing. A null doc_id links with
-    nothing and gets a null component_id and kept = true. Rows that repeat a doc_id are one node
-    for every text they have. An empty table gives an empty result. Other columns are ignored.
+    nothing and gets a null component_id and kept = true. Rows that repeat a doc_id are one
+    document; if their texts differ, the links of the greatest text count. An empty table gives an empty result. Other columns are ignored.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -236,26 +271,21 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits")),
         "nodes",
     )
-    bits = nodes.select("id", "bits")
     buckets = nodes.select("id", F.explode("bands").alias("key"))
     least = buckets.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     shared = stored(join_hot(buckets, least, ["key"], "id"), "buckets").select("key", "id", "least")
-    lowest = percent / 100 - MARGIN
-    needed = shared.select("id").distinct()
-    texts = stored(rows.join(needed, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+    needed = nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "bits", "bands")
+    found = rows.join(needed, "id").groupBy("id")
+    payload = stored(found.agg(F.max("text").alias("text"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "payload")
     pairs = shared.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    alike = _with_end(_with_end(stored(pairs, "pairs"), "a", bits, "bits"), "b", bits, "bits").filter(
-        estimate("bits_a", "bits_b") >= lowest
+    alike = _with_end(_with_end(stored(pairs, "pairs"), "a", payload, "bits"), "b", payload, "bits").filter(
+        estimate("bits_a", "bits_b") >= percent / 100 - MARGIN
     )
-    links = stored(_linked(alike.select("a", "b"), texts, words, percent), "links")
+    links = stored(_linked(alike.select("a", "b"), payload, words, percent), "links")
     comps = components(links, "a", "b")
-    members = shared.select("key", "id")
-    for best in (4, None):
-        more = stored(_cross_candidates(members, bits, comps, lowest, best), "candidates")
-        found = stored(_linked(more, texts, words, percent), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comps = components(links, "a", "b")
+    more = stored(_cross_links(shared.select("key", "id"), payload, comps, words, percent), "links")
+    if not more.isEmpty():
+        comps = components(links.unionByName(more), "a", "b")
     groups = _with_component(nodes.select("id", "set_a", "set_b"), comps).select("set_a", "set_b", "component")
     placed = join_hot(
         marks.filter("n_shingles > 0").select("doc_id", "n_shingles", "set_a", "set_b"), groups, ["set_a", "set_b"], "doc_id", "left"

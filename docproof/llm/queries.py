@@ -117,7 +117,7 @@ with recursive measured as (
 select d.doc_id, d.source, d.lang, d.topic, d.tokens, round(probability, 6) as probability,
   ('0x' || substr(md5(d.doc_id::varchar), 1, 8))::bigint / 4294967296.0 < probability as kept
 from placed d join chances c on {same}
-""".replace("\\", "\")
+"""
 
 
 # The two alphabets between which only A-Z are lower-cased.
