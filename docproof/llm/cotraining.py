@@ -3,8 +3,8 @@
 The text view sees words: hashed word frequencies, repetition, variety. The metadata view sees what
 describes the document from outside: source, language, length, line layout and the mix of character
 classes. Each view learns from labelled documents, and over rounds each gives the other its most
-confident guesses on unlabelled documents. Both are then calibrated on labelled documents that no
-training has seen, and their calibrated log odds are added to score all documents.
+confident guesses on unlabelled documents. Both are then calibrated on labelled documents held out
+of their training in turn, and a calibrated combination of their log odds scores all documents.
 """
 
 from dataclasses import dataclass
@@ -18,7 +18,8 @@ from docproof.llm.textscan import as_bytes, string_hashes, word_hashes
 # Labelled and unlabelled documents that the models are fitted on, taken by the order of a hash.
 LABELLED, UNLABELLED = 8_000, 8_000
 WORD_BUCKETS, NAME_BUCKETS = 512, 32
-ROUNDS, GUESSES, CONFIDENT = 4, 500, 0.98
+ROUNDS, GUESSES, CONFIDENT = 3, 500, 0.98
+FOLDS, MOST_ODDS = 3, 8.0
 RIDGE = 1e-3
 TEXT_STATISTICS, LAYOUT_STATISTICS = 5, 14
 
@@ -84,7 +85,7 @@ class Logistic:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, rows: np.ndarray, target: np.ndarray, steps: int = 12) -> "Logistic":
+    def fit(cls, rows: np.ndarray, target: np.ndarray, steps: int = 8) -> "Logistic":
         centre, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-3
         x = np.hstack([(rows - centre) / scale, np.ones((len(rows), 1))]).astype(np.float64)
         share = target.mean()
@@ -103,16 +104,28 @@ class Logistic:
         return ((rows - self.centre) / self.scale) @ self.weights[:-1] + self.weights[-1]
 
 
-def calibration(odds: np.ndarray, target: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that turn a view's odds into log odds of being right (Platt)."""
-    goal = np.where(target > 0.5, (target.sum() + 1) / (target.sum() + 2), 1 / (len(target) - target.sum() + 2))
-    x = np.stack([odds, np.ones(len(odds))], axis=1)
-    weights = np.array([1.0, 0.0])
+def calibration(odds: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Slopes (for each column of ``odds``) and offset that turn odds into log odds of being good (Platt)."""
+    good, n = target.sum(), len(target)
+    goal = np.where(target > 0.5, (good + 1) / (good + 2), 1 / (n - good + 2))
+    x = np.column_stack([odds, np.ones(n)])
+    weights = np.zeros(x.shape[1])
     for _ in range(30):
         p = _probability(x @ weights)
-        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + 1e-6 * np.eye(2)
-        weights = weights - np.linalg.solve(curve, x.T @ (p - goal) + 1e-6 * weights)
-    return max(float(weights[0]), 0.0), float(weights[1])
+        curve = (x * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ x + 1e-3 * np.eye(x.shape[1])
+        weights = weights - np.linalg.solve(curve, x.T @ (p - goal) + 1e-3 * weights)
+    weights[:-1] = np.maximum(weights[:-1], 0)
+    return weights
+
+
+def _line(weights: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    return np.column_stack([odds]) @ weights[:-1] + weights[-1]
+
+
+def _joint(text: np.ndarray, metadata: np.ndarray) -> np.ndarray:
+    """What the combination looks at: both calibrated views, bounded, and the lower of the two."""
+    a, b = np.clip(text, -MOST_ODDS, MOST_ODDS), np.clip(metadata, -MOST_ODDS, MOST_ODDS)
+    return np.column_stack([a, b, np.minimum(a, b)])
 
 
 @dataclass
@@ -121,8 +134,9 @@ class QualityModel:
 
     text: Logistic | None
     metadata: Logistic | None
-    text_line: tuple[float, float]
-    metadata_line: tuple[float, float]
+    text_line: np.ndarray | None
+    metadata_line: np.ndarray | None
+    joint_line: np.ndarray | None
     prior: float
 
     def scores(self, texts: list[bytes], langs: list, sources: list, sizes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,41 +144,48 @@ class QualityModel:
         if self.text is None:
             good = np.full(len(texts), self.prior)
             return good, good, good
-        a = self.text_line[0] * self.text.odds(text_view(texts)) + self.text_line[1]
-        b = self.metadata_line[0] * self.metadata.odds(metadata_view(texts, langs, sources, sizes)) + self.metadata_line[1]
-        return _probability(a), _probability(b), _probability(a + b - np.log(self.prior / (1 - self.prior)))
+        a = _line(self.text_line, self.text.odds(text_view(texts)))
+        b = _line(self.metadata_line, self.metadata.odds(metadata_view(texts, langs, sources, sizes)))
+        return _probability(a), _probability(b), _probability(_line(self.joint_line, _joint(a, b)))
 
 
 def co_train(views: tuple[np.ndarray, np.ndarray], target: np.ndarray, unlabelled: tuple[np.ndarray, np.ndarray]) -> QualityModel:
-    """Train both views, exchange confident guesses, calibrate on every fifth labelled row."""
-    if len(target) < 10 or target.min() == target.max():
-        return QualityModel(None, None, (1, 0), (1, 0), float(target.mean()) if len(target) else 1.0)
-    held = np.arange(len(target)) % 5 == 4
-    if target[held].min(initial=1) == target[held].max(initial=0) or target[~held].min() == target[~held].max():
-        held[:] = False
-    train_x = [view[~held] for view in views]
-    train_y = [target[~held]] * 2
-    free = np.ones(len(unlabelled[0]), bool)
-    models = [Logistic.fit(x, y) for x, y in zip(train_x, train_y, strict=True)]
-    share = float(target.mean())
+    """Train both views, exchange confident guesses, calibrate on labelled rows held out in turn."""
+    if len(target) < 10 or min(target.sum(), len(target) - target.sum()) < FOLDS:
+        return QualityModel(None, None, None, None, None, float(target.mean()) if len(target) else 1.0)
+    guessed_x, guessed_y = [v[:0] for v in views], [np.empty(0)] * 2
+    free, share = np.ones(len(unlabelled[0]), bool), float(target.mean())
+
+    def fitted(rows):
+        return [
+            Logistic.fit(np.vstack([v[rows], x]), np.concatenate([target[rows], y]))
+            for v, x, y in zip(views, guessed_x, guessed_y, strict=True)
+        ]
+
+    everything = np.ones(len(target), bool)
     for _ in range(ROUNDS):
-        for view in (0, 1):
+        models = fitted(everything)
+        for view, other in ((0, 1), (1, 0)):
             left = np.flatnonzero(free)
-            if not len(left):
-                break
             p = _probability(models[view].odds(unlabelled[view][left]))
             order = np.argsort(p, kind="stable")
-            good = order[::-1][: round(GUESSES * share)]
-            bad = order[: round(GUESSES * (1 - share))]
+            good, bad = order[::-1][: round(GUESSES * share)], order[: round(GUESSES * (1 - share))]
             good, bad = left[good[p[good] >= CONFIDENT]], left[bad[p[bad] <= 1 - CONFIDENT]]
             free[good] = free[bad] = False
-            other = 1 - view
-            train_x[other] = np.vstack([train_x[other], unlabelled[other][good], unlabelled[other][bad]])
-            train_y[other] = np.concatenate([train_y[other], np.ones(len(good)), np.zeros(len(bad))])
-        models = [Logistic.fit(x, y) for x, y in zip(train_x, train_y, strict=True)]
-    check = held if held.any() else ~held
-    lines = [calibration(m.odds(v[check]), target[check]) for m, v in zip(models, views, strict=True)]
-    return QualityModel(models[0], models[1], *lines, share)
+            guessed_x[other] = np.vstack([guessed_x[other], unlabelled[other][good], unlabelled[other][bad]])
+            guessed_y[other] = np.concatenate([guessed_y[other], np.ones(len(good)), np.zeros(len(bad))])
+    models = fitted(everything)
+    odds = np.zeros((2, len(target)))
+    folds = np.empty(len(target), int)
+    for value in (0, 1):
+        own = np.flatnonzero((target > 0.5) == value)
+        folds[own] = np.arange(len(own)) % FOLDS
+    for fold in range(FOLDS):
+        for view, model in enumerate(fitted(folds != fold)):
+            odds[view, folds == fold] = model.odds(views[view][folds == fold])
+    lines = [calibration(o, target) for o in odds]
+    joint = calibration(_joint(*[_line(w, o) for w, o in zip(lines, odds, strict=True)]), target)
+    return QualityModel(*models, *lines, joint, share)
 
 
 def _features():
@@ -192,8 +213,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
 
     At most ``LABELLED`` labelled and ``UNLABELLED`` other documents are used, the first by a hash
     of doc_id. Labels without document and null labels are ignored; of several labels for a
-    document the lowest counts. With fewer than ten labelled documents, or one class only, every
-    document gets the share of good labels, or 1 if there are none.
+    document the lowest counts. With fewer than ten labelled documents, or fewer than ``FOLDS`` of a
+    class, every document gets the share of good labels, or 1 if there are none.
     """
     ship_package(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
