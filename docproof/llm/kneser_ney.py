@@ -297,6 +297,7 @@ class Model:
     left_discount: np.ndarray
     left_total: int
     left_bonus: float
+    block_bits: int
     mapped: dict = field(default_factory=dict)
 
     def __getstate__(self):
@@ -306,14 +307,14 @@ class Model:
         """Total, discounted mass and left neighbours of word numbers; zeros for -1."""
         out = [np.zeros(len(numbers)) for _ in range(3)]
         known = np.flatnonzero(numbers >= 0)
-        blocks = numbers[known] >> BLOCK_BITS
+        blocks = numbers[known] >> self.block_bits
         order = np.argsort(blocks, kind="stable")
         known, blocks = known[order], blocks[order]
         for a, b in _runs(blocks) if len(blocks) else ():
             block = int(blocks[a])
             if block not in self.mapped:
                 self.mapped[block] = [map_array(self.folder, f"{n}-{block}") for n in ("total", "bonus", "left")]
-            at = numbers[known[a:b]] - (block << BLOCK_BITS)
+            at = numbers[known[a:b]] - (block << self.block_bits)
             for values, array in zip(out, self.mapped[block], strict=True):
                 values[known[a:b]] = array[at]
         return tuple(out)
@@ -381,7 +382,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     left = dealt.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in dealt.columns]).first()
     left_discount = discounts({1: left.n1, 2: left.n2, 3: left.n3, 4: left.n4})
     bonus = left_discount[1] * left.n1 + left_discount[2] * left.n2 + left_discount[3] * left.many
-    return Model(words, pairs, folder, discount, left_discount, left.total, bonus)
+    return Model(words, pairs, folder, discount, left_discount, left.total, bonus, BLOCK_BITS)
 
 
 def score_texts(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
