@@ -8,6 +8,8 @@ changed meanwhile are skipped. Decoding concatenates the vocabulary's strings.
 
 import json
 import re
+from array import array
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -23,7 +25,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _NEWER = re.compile("[԰-\U0010ffff]")
 # A blank that more white space or the end follows; without one, every blank starts a pre-token.
 _LOOSE_BLANK = re.compile(r" (?:\s|\Z)")
-CACHED = 1 << 18
+# Pieces and pre-tokens that an encoder remembers, at least; at most twice as many.
+PIECES, PRE_TOKENS = 1 << 16, 1 << 17
 _PLACE = (1 << 32) - 1
 
 
@@ -40,10 +43,12 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as source:
             spec = json.load(source)
-        model, split = spec["model"], spec["pre_tokenizer"]
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
         unusual = [
-            model["type"] != "BPE", model.get("byte_fallback"), model.get("dropout"), spec["normalizer"],
-            split["type"] != "ByteLevel", split["add_prefix_space"], not split.get("use_regex", True),
+            model["type"] != "BPE", model.get("byte_fallback"), model.get("dropout"), model.get("ignore_merges"),
+            model.get("end_of_word_suffix"), model.get("continuing_subword_prefix"), spec["normalizer"],
+            split.get("type") != "ByteLevel", split.get("add_prefix_space"), not split.get("use_regex", True),
+            any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]),
         ]
         if any(unusual):
             raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
@@ -58,38 +63,37 @@ class Vocabulary:
         self.ranks, self.merged = {}, []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault(ids[left] << 32 | ids[right], rank)
+            self.ranks.setdefault(ids[left] << 32 | ids[right], rank << 32)
             self.merged.append(ids[left + right])
 
 
 def merge(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
-    """Merge one pre-token's symbols until no pair has a rank."""
-    n = len(symbols)
-    queue = [
-        rank << 32 | at
-        for at in range(n - 1)
-        if (rank := ranks.get(symbols[at] << 32 | symbols[at + 1])) is not None
-    ]
+    """Merge one pre-token's symbols until no pair has a rank; ``ranks`` are shifted by 32 bits.
+
+    A queue entry is a pair's rank with its place in the low bits.
+    """
+    get, n = ranks.get, len(symbols)
+    queue = [rank | at for at, (a, b) in enumerate(zip(symbols, symbols[1:])) if (rank := get(a << 32 | b)) is not None]
     if not queue:
         return symbols
     heapify(queue)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while queue:
         entry = heappop(queue)
-        rank, at = entry >> 32, entry & _PLACE
-        here = symbols[at]
-        right = after[at]
-        if here < 0 or right >= n or ranks.get(here << 32 | symbols[right]) != rank:
+        at = entry & _PLACE
+        here, right = symbols[at], after[at]
+        if here < 0 or right >= n or get(here << 32 | symbols[right]) != entry - at:
             continue  # one of the two has merged with another neighbour meanwhile
-        symbols[at] = here = merged[rank]
+        symbols[at] = here = merged[entry >> 32]
         symbols[right] = -1
         after[at] = end = after[right]
         if end < n:
             before[end] = at
-            if (rank := ranks.get(here << 32 | symbols[end])) is not None:
-                heappush(queue, rank << 32 | at)
-        if (left := before[at]) >= 0 and (rank := ranks.get(symbols[left] << 32 | here)) is not None:
-            heappush(queue, rank << 32 | left)
+            if (rank := get(here << 32 | symbols[end])) is not None:
+                heappush(queue, rank | at)
+        left = before[at]
+        if left >= 0 and (rank := get(symbols[left] << 32 | here)) is not None:
+            heappush(queue, rank | left)
     return [s for s in symbols if s >= 0]
 
 
@@ -114,35 +118,51 @@ class Splitter:
 
     def pre_tokens(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens."""
-        if _NEWER.search(text):
+        if not text.isascii() and _NEWER.search(text):
             return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
         return self.find(text)
 
     def chunks(self, text: str) -> list[str]:
         """Pieces that hold whole pre-tokens; most pieces of ordinary text recur, so caches hit."""
-        if _LOOSE_BLANK.search(text) or _NEWER.search(text):
+        if _LOOSE_BLANK.search(text) or (not text.isascii() and _NEWER.search(text)):
             return self.pre_tokens(text)
         first, *rest = text.split(" ")
         return [first, *[" " + chunk for chunk in rest]] if first else [" " + chunk for chunk in rest]
 
 
+class Recent(dict):
+    """Remembers what was used lately, in two halves; when the newer is full, the older is forgotten."""
+
+    def __init__(self, half: int):
+        super().__init__()
+        self.half, self.older = half, {}
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
-    """Token ids of whole texts; remembers a bounded number of pieces."""
+    """Token ids of whole texts; remembers a bounded number of pieces and pre-tokens."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.splitter, self.known = vocabulary, Splitter(vocabulary), {}
+        self.vocabulary, self.splitter = vocabulary, Splitter(vocabulary)
+        self.known, self.tokens = Recent(PIECES), Recent(PRE_TOKENS)
+
+    def encode_token(self, token: str) -> bytes:
+        if (packed := self.tokens.older.get(token)) is None:
+            own = self.vocabulary
+            packed = array("I", merge([own.byte_ids[b] for b in token.encode()], own.ranks, own.merged)).tobytes()
+        return self.tokens.keep(token, packed) if len(token) < 64 else packed
 
     def encode_piece(self, piece: str) -> bytes:
-        byte_ids, ranks, merged = self.vocabulary.byte_ids, self.vocabulary.ranks, self.vocabulary.merged
-        ids = []
-        for token in self.splitter.pre_tokens(piece):
-            ids.extend(merge([byte_ids[b] for b in token.encode()], ranks, merged))
-        packed = np.array(ids, "<u4").tobytes()
-        if len(piece) < 64:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            self.known[piece] = packed
-        return packed
+        if (packed := self.known.older.get(piece)) is None:
+            get = self.tokens.get
+            packed = b"".join([get(t) or self.encode_token(t) for t in self.splitter.pre_tokens(piece)])
+        return self.known.keep(piece, packed) if len(piece) < 64 else packed
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -161,14 +181,16 @@ def decode_ids(ids: bytes, strings: list[bytes]) -> str:
     return b"".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_loaded: dict[str, object] = {}
+@cache
+def loaded(path: str) -> Vocabulary:
+    """One vocabulary per worker process, kept between tasks."""
+    return Vocabulary(path)
 
 
+@cache
 def encoder(path: str) -> Encoder:
     """One encoder per worker process, kept between tasks."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(Vocabulary(path))
-    return _loaded[path]
+    return Encoder(loaded(path))
 
 
 def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,11 +207,10 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 
     def run(batches):
         tool = encoder(vocabulary)
-        for batch in batches:
-            packed = [tool.encode(t.decode("utf-8", "replace")) for t in as_bytes(batch.column(1))]
+        for part in batches:
+            packed = [tool.encode(t.decode("utf-8", "replace")) for t in as_bytes(part.column(1))]
             counts = pa.array([len(p) // 4 for p in packed], pa.int64())
-            ids = pa.array(packed, pa.large_binary() if sum(map(len, packed)) >> 31 else pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, ids], names=["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(packed, pa.large_binary() if sum(map(len, packed)) >> 31 else pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
@@ -202,10 +223,10 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
     ship_package(tokens.sparkSession)
 
     def run(batches):
-        strings = encoder(vocabulary).vocabulary.strings
-        for batch in batches:
-            texts = [decode_ids(ids or b"", strings) for ids in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
+        strings = loaded(vocabulary).strings
+        for part in batches:
+            texts = [decode_ids(ids or b"", strings) for ids in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
 
     rows = tokens.select("doc_id", "n_tokens", "ids")
     kind = rows.schema["doc_id"].dataType.simpleString()
