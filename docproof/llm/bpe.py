@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from docproof.llm.support import ship_package
-from docproof.llm.textscan import as_bytes
+from docproof.llm.textscan import as_bytes, by_size
 
 # How byte-level BPE splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -207,10 +207,10 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 
     def run(batches):
         tool = encoder(vocabulary)
-        for part in batches:
+        for part in (part for batch in batches for part in by_size(batch, 1)):
             packed = [tool.encode(t.decode("utf-8", "replace")) for t in as_bytes(part.column(1))]
             counts = pa.array([len(p) // 4 for p in packed], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(packed, pa.large_binary() if sum(map(len, packed)) >> 31 else pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
@@ -224,7 +224,7 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         strings = loaded(vocabulary).strings
-        for part in batches:
+        for part in (part for batch in batches for part in by_size(batch, 2)):
             texts = [decode_ids(ids or b"", strings) for ids in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
 

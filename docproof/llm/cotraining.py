@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from docproof.llm.support import ship_package
-from docproof.llm.textscan import as_bytes, string_hashes, word_hashes
+from docproof.llm.textscan import as_bytes, by_size, string_hashes, word_hashes
 
 # Labelled and unlabelled documents that the models are fitted on, taken by the order of a hash.
 LABELLED, UNLABELLED = 8_000, 8_000
@@ -21,6 +21,7 @@ WORD_BUCKETS, NAME_BUCKETS = 512, 32
 ROUNDS, GUESSES, CONFIDENT = 3, 500, 0.98
 FOLDS, MOST_ODDS = 3, 8.0
 RIDGE = 1e-3
+SLICE_BYTES = 1 << 21
 TEXT_STATISTICS, LAYOUT_STATISTICS = 5, 14
 
 
@@ -192,11 +193,11 @@ def _features():
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
-            texts = as_bytes(batch.column(1))
-            others = [batch.column(c).to_pylist() for c in (2, 3, 4)]
+        for part in (part for batch in batches for part in by_size(batch, 1)):
+            texts = as_bytes(part.column(1))
+            others = [part.column(c).to_pylist() for c in (2, 3, 4)]
             blobs = [[r.tobytes() for r in v] for v in (text_view(texts), metadata_view(texts, *others))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(b, pa.binary()) for b in blobs]], names=["doc_id", "a", "b"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(b, pa.binary()) for b in blobs]], names=["doc_id", "a", "b"])
 
     return run
 
@@ -245,10 +246,18 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     @F.pandas_udf("text double, metadata double, both double")
     def quality(text: pd.Series, lang: pd.Series, source: pd.Series, size: pd.Series) -> pd.DataFrame:
-        texts = [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in text]
         names = [[n if isinstance(n, str) else None for n in column] for column in (lang, source)]
         sizes = [0 if pd.isna(s) else int(s) for s in size]
-        return pd.DataFrame(dict(zip(("text", "metadata", "both"), model.scores(texts, *names, sizes), strict=True)))
+        found, waiting, held = [], [], 0
+        for at, value in enumerate(text, 1):
+            waiting.append(value.encode("utf-8", "replace") if isinstance(value, str) else b"")
+            held += len(waiting[-1])
+            if held > SLICE_BYTES or at == len(text):
+                own = slice(at - len(waiting), at)
+                found.append(model.scores(waiting, *[n[own] for n in names], sizes[own]))
+                waiting, held = [], 0
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0)] * 3
+        return pd.DataFrame(dict(zip(("text", "metadata", "both"), columns, strict=True)))
 
     columns = [F.col("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")]
     return docs.withColumn("_quality", quality(*columns))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docproof.llm.components import components
 from docproof.llm.support import join_hot, ship_package, stored
-from docproof.llm.textscan import as_bytes, mix, shingle_sets
+from docproof.llm.textscan import as_bytes, by_size, mix, shingle_sets
 
 # A pair at exactly 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 6e-5.
 BANDS, ROWS, BITS = 32, 6, 2
@@ -80,15 +80,8 @@ def _signer(words: int):
     names = [part.split()[0] for part in SIGNED.split(", ")]
 
     def sign(batches):
-        for batch in batches:
-            texts = as_bytes(batch.column(1))
-            begin, size = 0, 0
-            for i, text in enumerate(texts):
-                size += len(text)
-                if size > 1 << 21 or i == len(texts) - 1:
-                    part = slice(begin, i + 1)
-                    yield table(batch.column(0)[part], shingle_sets(texts[part], words), names)
-                    begin, size = i + 1, 0
+        for part in (part for batch in batches for part in by_size(batch, 1)):
+            yield table(part.column(0), shingle_sets(as_bytes(part.column(1)), words), names)
 
     return sign
 
@@ -108,16 +101,16 @@ def _confirmer(words: int, percent: int):
     import pyarrow as pa
 
     def confirm(batches):
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = dict(zip(a, as_bytes(batch.column(2)), strict=True)) | dict(zip(b, as_bytes(batch.column(3)), strict=True))
+        for part in (part for batch in batches for part in by_size(batch, 3)):
+            a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+            texts = dict(zip(a, as_bytes(part.column(2)), strict=True)) | dict(zip(b, as_bytes(part.column(3)), strict=True))
             sets = dict(zip(texts, shingle_sets(list(texts.values()), words), strict=True))
             linked = []
             for x, y in zip(a, b, strict=True):
                 common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                 linked.append(100 * common >= percent * (len(sets[x]) + len(sets[y]) - common))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(linked)), batch.column(1).filter(pa.array(linked))], names=["a", "b"]
+                [part.column(0).filter(pa.array(linked, pa.bool_())), part.column(1).filter(pa.array(linked, pa.bool_()))], names=["a", "b"]
             )
 
     return confirm
@@ -188,8 +181,8 @@ def _linker(words: int, percent: int, lowest: float):
 
     def run(batches):
         waiting, block = [], None
-        for batch in batches:
-            for row in batch.to_pylist():
+        for part in (part for batch in batches for part in by_size(batch, 8)):
+            for row in part.to_pylist():
                 if (row["key"], row["block"], row["chunk"]) != block:
                     if waiting:
                         yield batch_of(waiting)

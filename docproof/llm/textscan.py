@@ -115,6 +115,22 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return sets
 
 
+def by_size(batch, column: int, most: int = 1 << 21):
+    """Slices of an Arrow batch whose values in one text or binary column have about ``most`` bytes in all.
+
+    So that a task never holds more than one slice as Python objects; a longer value is a slice alone.
+    """
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        done = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, done + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def as_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column, null as empty; no Python string is made."""
     import pyarrow as pa
