@@ -54,12 +54,8 @@ class Vocabulary:
             raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
         self.path = path
         ids, of_byte = model["vocab"], byte_alphabet()
-        to_byte = {c: b for b, c in of_byte.items()}
         self.byte_ids = [ids[of_byte[b]] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        strings = {i: bytes(to_byte[c] for c in s) for s, i in ids.items()}
-        strings |= {i: s.encode() for s, i in self.special.items()}
-        self.strings = [strings.get(i, b"") for i in range(max(strings) + 1)]
         self.ranks, self.merged = {}, []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
@@ -182,15 +178,20 @@ def decode_ids(ids: bytes, strings: list[bytes]) -> str:
 
 
 @cache
-def loaded(path: str) -> Vocabulary:
-    """One vocabulary per worker process, kept between tasks."""
-    return Vocabulary(path)
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process, kept between tasks."""
+    return Encoder(Vocabulary(path))
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process, kept between tasks."""
-    return Encoder(loaded(path))
+def token_strings(path: str) -> list[bytes]:
+    """The bytes of every token id; all that decoding needs of a file that ``encode`` accepts."""
+    with open(path, encoding="utf-8") as source:
+        spec = json.load(source)
+    to_byte = {c: b for b, c in byte_alphabet().items()}
+    strings = {i: bytes(to_byte[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+    strings |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    return [strings.get(i, b"") for i in range(max(strings) + 1)]
 
 
 def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,7 +224,7 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
     ship_package(tokens.sparkSession)
 
     def run(batches):
-        strings = loaded(vocabulary).strings
+        strings = token_strings(vocabulary)
         for part in (part for batch in batches for part in by_size(batch, 2)):
             texts = [decode_ids(ids or b"", strings) for ids in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])

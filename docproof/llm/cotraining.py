@@ -21,7 +21,6 @@ WORD_BUCKETS, NAME_BUCKETS = 512, 32
 ROUNDS, GUESSES, CONFIDENT = 3, 500, 0.98
 FOLDS, MOST_ODDS = 3, 8.0
 RIDGE = 1e-3
-SLICE_BYTES = 1 << 21
 TEXT_STATISTICS, LAYOUT_STATISTICS = 5, 14
 
 
@@ -240,24 +239,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """Documents with ``_quality``: struct(text, metadata, both) of calibrated probabilities."""
-    import pandas as pd
+    import pyarrow as pa
 
     ship_package(docs.sparkSession)
-
-    @F.pandas_udf("text double, metadata double, both double")
-    def quality(text: pd.Series, lang: pd.Series, source: pd.Series, size: pd.Series) -> pd.DataFrame:
-        names = [[n if isinstance(n, str) else None for n in column] for column in (lang, source)]
-        sizes = [0 if pd.isna(s) else int(s) for s in size]
-        found, waiting, held = [], [], 0
-        for at, value in enumerate(text, 1):
-            waiting.append(value.encode("utf-8", "replace") if isinstance(value, str) else b"")
-            held += len(waiting[-1])
-            if held > SLICE_BYTES or at == len(text):
-                own = slice(at - len(waiting), at)
-                found.append(model.scores(waiting, *[n[own] for n in names], sizes[own]))
-                waiting, held = [], 0
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0)] * 3
-        return pd.DataFrame(dict(zip(("text", "metadata", "both"), columns, strict=True)))
+    names = ["text", "metadata", "both"]
+
+    @F.arrow_udf("text double, metadata double, both double")
+    def quality(text: pa.Array, lang: pa.Array, source: pa.Array, size: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text, lang, source, size], names=["text", "lang", "source", "size"])
+        found = [np.empty((3, 0))]
+        for part in by_size(batch, 0):
+            found.append(np.stack(model.scores(as_bytes(part.column(0)), *[part.column(c).to_pylist() for c in (1, 2, 3)])))
+        return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in np.concatenate(found, axis=1)], names=names)
 
     columns = [F.col("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")]
     return docs.withColumn("_quality", quality(*columns))
