@@ -1,12 +1,12 @@
 """Facts that need the source text: text layer, and which fields occur in it.
 
-Ordinary documents are one row with their text. Documents of more pages than a row should hold
-are checked block by block, and the blocks' answers are combined; both give the same facts.
+Ordinary documents are one row with their text. Documents of more characters than a row should
+hold are checked block by block, and the blocks' answers are combined; both give the same facts.
 """
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docproof.functions.parsing import to_cents, with_amount
 from docproof.functions.predicates import (
@@ -17,7 +17,7 @@ from docproof.functions.predicates import (
     whole_and_cents,
 )
 from docproof.functions.text import WS, normalize_text
-from docproof.session import checkpointed
+from docproof.sources.pages import range_of, running_totals
 
 # The text fields looked up in the source, in the order they are reported.
 GROUNDED = ["company_name", "invoice_number", "account", "tax_id"]
@@ -66,7 +66,7 @@ def ground(df: DataFrame, strict_cents: bool = False) -> DataFrame:
 # ---------------------------------------------------------------- long documents
 
 BLOCK_CHARS = 1_000_000
-PAGES_PER_RANGE = 1_000
+LAST_RANGE = 1 << 62
 SALTS = 64
 
 
@@ -83,33 +83,13 @@ def encode_digits(text: Column) -> Column:
 
 
 def encoded_amount_pattern(whole: Column, fraction: Column) -> Column:
-    """The amount as a pattern over ``encode_digits``."""
-    digits = F.regexp_replace(whole, "([0-9])(?=[0-9])", r"$1(?:\\.*<)?+")
-    return F.concat(F.lit("<"), digits, F.lit(r"\.<"), fraction, F.lit(r"(?!\p{Nd})"))
-
+    """The amount as a pattern over ``encode_digits`` and one more character.
 
-def _running_totals(pages: DataFrame, sizes: list[str]) -> DataFrame:
-    """Add ``<size>_before``: the total over all earlier pages of the document.
-
-    Totals per range of page numbers come first, so no window ever holds more than one range of
-    pages, or one small row per range.
+    What follows the cents must be there and be no digit: a block may end in the middle of a
+    number, and only the end of the document is marked by a letter.
     """
-    pages = pages.withColumn("_range", F.floor(F.col("page_no") / PAGES_PER_RANGE))
-    earlier = Window.partitionBy("path").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        pages.groupBy("path", "_range")
-        .agg(*[F.sum(s).alias(s) for s in sizes])
-        .select("path", "_range", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_{s}_start") for s in sizes])
-    )
-    within = Window.partitionBy("path", "_range").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    totals = {
-        f"{s}_before": F.col(f"_{s}_start") + F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sizes
-    }
-    return (
-        pages.join(starts, ["path", "_range"])
-        .withColumns(totals)
-        .drop("_range", *[f"_{s}_start" for s in sizes])
-    )
+    digits = F.regexp_replace(whole, "([0-9])(?=[0-9])", r"$1(?:\\.*<)?+")
+    return F.concat(F.lit("<"), digits, F.lit(r"\.<"), fraction, F.lit(r"(?=\P{Nd})"))
 
 
 def _salted(records: DataFrame) -> DataFrame:
@@ -173,21 +153,27 @@ def ground_long(
     text = pages.groupBy("path").agg(F.bool_or(has_text_layer(F.col("text"))).alias("has_text"))
     overlaps = _salted(needles.select("path", "_text_overlap", "_digit_overlap"))
     only_marks = F.col("_digits").rlike(r"\A\.*\z")
-    sized = (
+    texts = (
         pages.filter(F.col("text") != "")
-        .withColumn("_salt", F.pmod("page_no", F.lit(SALTS)).cast("int"))
+        .withColumn("_salt", F.coalesce(F.pmod("page_no", F.lit(SALTS)), F.lit(0)).cast("int"))
         .join(overlaps, ["path", "_salt"])
-        .withColumns({"_plain": normalize_text(F.col("text")), "_digits": encode_digits(F.col("text"))})
-        .withColumns(
-            {
-                "plain": F.length("_plain").cast("bigint"),
-                "digit": F.when(only_marks, 0).otherwise(F.length("_digits")).cast("bigint"),
-                "marks": F.when(only_marks, F.length("_digits")).otherwise(0).cast("bigint"),
-            }
+        .select(
+            "path", "page_no", "text", range_of(F.col("page_no")).alias("_at"), normalize_text(F.col("text")).alias("_plain"),
+            encode_digits(F.col("text")).alias("_digits"), "_text_overlap", "_digit_overlap",
         )
-        .drop("text", "_salt")
     )
-    placed = _running_totals(checkpointed(sized), ["plain", "digit", "marks"])
+    ends = needles.select(
+        "path", F.lit(None).cast("bigint").alias("page_no"), F.lit("").alias("text"), F.lit(LAST_RANGE).alias("_at"),
+        F.lit("").alias("_plain"), F.lit("x").alias("_digits"), "_text_overlap", "_digit_overlap",
+    )
+    sized = texts.unionByName(ends).withColumns(
+        {
+            "plain": F.length("_plain").cast("bigint"),
+            "digit": F.when(only_marks, 0).otherwise(F.length("_digits")).cast("bigint"),
+            "marks": F.when(only_marks, F.length("_digits")).otherwise(0).cast("bigint"),
+        }
+    )
+    placed = running_totals(sized, ["plain", "digit", "marks"], F.col("_at")).drop("text", "_at")
     plain_pieces = placed.filter("plain > 0").select(
         "path", F.col("_plain").alias("piece"), "plain_before", F.lit(0).cast("bigint").alias("marks_before"), "_text_overlap"
     )

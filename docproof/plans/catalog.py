@@ -63,7 +63,7 @@ def verify_documents_end_to_end(spark, sf_dir):
 @query
 def verify_long_documents(spark, sf_dir):
     """Every document takes the block-by-block way, in blocks far shorter than its text."""
-    v = verdicts_of(Documents(spark, sf_dir), max_pages=2, block_chars=40)
+    v = verdicts_of(Documents(spark, sf_dir), max_chars=0, block_chars=40)
     return v.select("path", "status", "flagged", "error", fired_rules())
 
 
@@ -89,7 +89,7 @@ def build_extraction_requests(spark, sf_dir):
         F.concat(F.lit("/docs/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"),
         F.encode("text", "UTF-8").alias("content"),
     )
-    return S.build_extraction_requests(files).select("path", "filename", "file_data")
+    return S.build_extraction_requests(files)
 
 
 @query
@@ -229,8 +229,9 @@ def is_grounded(spark, sf_dir):
 
 @query
 def is_grounded_in_prose(spark, sf_dir):
-    """A passage of each document with its blanks and commas changed, or with a letter changed."""
-    start = (F.col("doc_id") % 97 + 1).cast("int")
+    """A passage from anywhere in each document, the end included, with blanks, commas or a letter changed."""
+    last = F.greatest(F.length("text") - 59, F.lit(1))
+    start = F.when(F.col("doc_id") % 5 == 4, last).otherwise(F.col("doc_id") * 7919 % last + 1).cast("int")
     passage = F.substr("text", start, F.lit(60))
     value = (
         F.when(F.col("doc_id") % 3 == 0, F.translate(passage, " ,", "-/"))
@@ -331,6 +332,13 @@ def field_review(spark, sf_dir):
     return review.field_review(verdicts_of(Documents(spark, sf_dir)))
 
 
+@query
+def field_review_of_edited(spark, sf_dir):
+    """The same table for the newest versions of edited documents."""
+    d = Documents(spark, sf_dir)
+    return review.field_review(recheck_edited(verdicts_of(d), d.edits, d.pages, REF_DATE))
+
+
 def _in_two_runs(v: DataFrame) -> DataFrame:
     odd = F.substring("path", -5, 1).cast("int") % 2 == 1
     return v.withColumn("run_id", F.when(odd, "second").otherwise("first"))
@@ -385,38 +393,45 @@ def _stored(spark, df: DataFrame, purpose: str) -> str:
     return folder
 
 
+def _stored_by_path(spark, df: DataFrame, purpose: str) -> str:
+    folder = work_folder(spark, purpose)
+    W.save_by_path(df, folder)
+    return folder
+
+
 def _stream_of(spark, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(folder)
 
 
-def _streamed_verdicts(spark, d: Documents) -> DataFrame:
-    responses, pages = _stored(spark, d.responses, "responses"), _stored(spark, d.pages, "pages")
+def _streamed_verdicts(spark, d: Documents) -> str:
+    """The folder of a finished stream's output, with the verdicts of the drain as its last batch."""
+    responses, pages = _stored(spark, d.responses, "responses"), _stored_by_path(spark, d.pages, "pages")
     out = work_folder(spark, "verdicts")
     jobs.stream_validate(
         _stream_of(spark, responses, RESPONSE), pages, out, REF_DATE, work_folder(spark, "progress")
     ).awaitTermination()
-    return jobs.read_batches(spark, f"{out}/verdicts")
+    rest = jobs.drain(spark, d.files, pages, out, REF_DATE)
+    rest.write.parquet(f"{out}/verdicts/batch_id=999999")
+    return f"{out}/verdicts"
 
 
 @query
 def stream_validate(spark, sf_dir):
-    v = _streamed_verdicts(spark, Documents(spark, sf_dir))
+    v = jobs.read_batches(spark, _streamed_verdicts(spark, Documents(spark, sf_dir)))
     return v.select("path", "status", "error", fired_rules())
 
 
 @query
 def stream_summary(spark, sf_dir):
-    d = Documents(spark, sf_dir)
-    responses, out = _stored(spark, d.responses, "responses"), work_folder(spark, "summary")
-    texts = spark.read.parquet(_stored(spark, G.join_pages(d.pages, "path"), "texts"))
-    verdicts = jobs.validate_with_texts(_stream_of(spark, responses, RESPONSE), texts, REF_DATE)
-    totals = jobs.stream_summary(verdicts)
+    """Counted over the stream of verdicts that the first stream wrote."""
+    folder, out = _streamed_verdicts(spark, Documents(spark, sf_dir)), work_folder(spark, "summary")
+    verdicts = _stream_of(spark, folder, jobs.read_batches(spark, folder).schema)
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(out)
 
     (
-        totals.writeStream.outputMode("complete").foreachBatch(keep)
+        jobs.stream_summary(verdicts).writeStream.outputMode("complete").foreachBatch(keep)
         .option("checkpointLocation", work_folder(spark, "progress"))
         .trigger(availableNow=True).start().awaitTermination()
     )
@@ -426,7 +441,7 @@ def stream_summary(spark, sf_dir):
 @query
 def stream_edits(spark, sf_dir):
     d = Documents(spark, sf_dir)
-    results, pages = _stored(spark, verdicts_of(d), "results"), _stored(spark, d.pages, "pages")
+    results, pages = _stored_by_path(spark, verdicts_of(d), "results"), _stored_by_path(spark, d.pages, "pages")
     log, out = _stored(spark, d.edits, "edits"), work_folder(spark, "versions")
     jobs.stream_edits(
         _stream_of(spark, log, EDIT), results, pages, out, REF_DATE, work_folder(spark, "progress")

@@ -10,29 +10,28 @@ from docproof.operators.grounding import BLOCK_CHARS, ground, ground_long, with_
 from docproof.operators.pairing import capture_records, missing_text, pair_with_text
 from docproof.operators.rules import apply_rules
 from docproof.schema import FIELDS, unpack
-from docproof.sources.pages import MAX_PAGES, join_pages, long_documents
+from docproof.sources.pages import MAX_CHARS, join_pages, long_documents
 
 
 def with_facts(
     records: DataFrame,
     pages: DataFrame,
     strict_cents: bool = False,
-    max_pages: int = MAX_PAGES,
+    max_chars: int = MAX_CHARS,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Records (path, ten fields, error) with the facts that their document's text gives.
 
-    Only documents of at most ``max_pages`` pages are put together in one row.
+    Only documents of at most ``max_chars`` characters are put together in one row. One plan holds
+    both ways; building it starts no job.
     """
     columns = ["path", *FIELDS, "error"]
     records = with_cents(records.select(*columns, *[c for c in records.columns if c not in columns]))
-    long = long_documents(pages, max_pages)
-    short_pages = pages if long is None else pages.join(long, "path", "left_anti")
-    short_records = records if long is None else records.join(long, "path", "left_anti")
+    long = long_documents(pages, max_chars)
+    short_pages = pages.join(long, "path", "left_anti")
+    short_records = records.join(long, "path", "left_anti")
     paired = missing_text(pair_with_text(short_records, join_pages(short_pages, "path")))
     facts = ground(paired, strict_cents)
-    if long is None:
-        return facts
     long_facts = ground_long(
         records.join(long, "path", "left_semi"),
         pages.join(long, "path", "left_semi"),

@@ -43,6 +43,9 @@ RESPONSE = T.StructType(
     ]
 )
 
+# A response of a stream, with its document's page count if the sender knows it.
+WAITING = T.StructType([*RESPONSE.fields, T.StructField("n_pages", T.LongType())])
+
 EDIT = T.StructType(
     [
         T.StructField("path", T.StringType()),

@@ -26,18 +26,31 @@ def local_session(cores: str = "*", app: str = "docproof") -> SparkSession:
     return prepare(spark)
 
 
+# What results depend on: UTC dates, and the last of two equal JSON keys wins.
+SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.variant.allowDuplicateKeys": "true"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set what results depend on: UTC dates, and the last of two equal JSON keys wins."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    """Give a session of our own the settings that results depend on."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     return spark
 
 
+def require_settings(spark: SparkSession) -> None:
+    """Raise where a caller's session would give other results; it is not changed."""
+    wrong = [f"{key}={value}" for key, value in SETTINGS.items() if spark.conf.get(key, None) != value]
+    if wrong:
+        raise ValueError(f"set {', '.join(wrong)} in the session, or use docproof.session.prepare")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder; a temporary one only on a single machine without any."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="docproof-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -49,12 +62,6 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use every core on inputs that come in fewer pieces; large inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -36,33 +36,33 @@ def page_count(files: DataFrame, pages: DataFrame) -> DataFrame:
     return files.select("path").distinct().join(counts, "path", "left").fillna(0, ["n_pages"])
 
 
-DEFAULT_BUYER = "our company"
+DEFAULT_BUYER = "the receiving company"
 
 
 def extraction_prompt(buyer: str | None) -> str:
+    """What the rules need of a response: who is meant, and how each value must be written."""
     return (
-        f"The attached invoice was sent to {buyer or DEFAULT_BUYER}, the buyer. Read off the "
-        "details of the seller who issues it and asks for payment, never those of the buyer. "
-        "Copy names, addresses, the invoice number and the tax ID as printed. Give the seller's "
-        "IBAN as account if there is one, else the local account number. Do not guess or compute "
-        "what is not printed. Dates become YYYY-MM-DD, read in the invoice's own day and month "
-        "order; the amount becomes a plain number with a decimal point, cents and no thousands "
-        "separators; the currency becomes its three-letter ISO 4217 code where that is certain, "
-        "and stays as printed otherwise."
+        f"Fill in the fields for the party that is owed money; {buyer or DEFAULT_BUYER} pays it and "
+        "is not to be described. Values are checked by searching for them in the document: text "
+        "fields must be found there letter by letter, apart from spaces, case and the marks , . - /. "
+        "A field that the document does not show is null. Write dates in ISO 8601 form with four, two "
+        "and two digits, amounts with digits, one point and two decimals, and day counts as whole "
+        "numbers."
     )
 
 
+# Per field what the checks compare it with.
 FIELD_NOTES = {
-    "company_name": "Company that issues the invoice (not the buyer).",
-    "company_address": "Address of that company.",
-    "invoice_number": "Number of the invoice.",
-    "issue_date": "Day of issue, YYYY-MM-DD; not the delivery or due day.",
-    "payment_date": "Day payment is due, YYYY-MM-DD, if printed.",
-    "payment_terms_days": "Days allowed for payment from the day of issue, if printed.",
-    "amount": "Total to pay with tax, as a plain decimal number.",
-    "currency": "Three-letter ISO 4217 code.",
-    "tax_id": "Tax ID of the company that issues the invoice.",
-    "account": "Its bank account: IBAN, or the local number as printed.",
+    "company_name": "Searched in the text.",
+    "company_address": "Must not be empty.",
+    "invoice_number": "Searched in the text.",
+    "issue_date": "ISO date, not in the future.",
+    "payment_date": "ISO date, on or after issue_date; needed unless payment_terms_days is given.",
+    "payment_terms_days": "Whole days from issue_date to payment_date.",
+    "amount": "The sum owed, searched in the text in any layout of its digits.",
+    "currency": "Code of ISO 4217, upper case.",
+    "tax_id": "Searched in the text.",
+    "account": "Searched in the text; an IBAN must pass its check digits.",
 }
 
 
@@ -79,6 +79,9 @@ def response_schema() -> dict:
     }
 
 
+SCHEMA_NAME = "document_record"
+
+
 def build_extraction_requests(files: DataFrame, buyer: str | None = None) -> DataFrame:
     """One request per file of (path, content): prompt, data URL and response schema.
 
@@ -92,3 +95,13 @@ def build_extraction_requests(files: DataFrame, buyer: str | None = None) -> Dat
         F.concat(F.lit("data:application/pdf;base64,"), encoded).alias("file_data"),
         F.lit(json.dumps(response_schema())).alias("schema_json"),
     )
+
+
+def write_requests(requests: DataFrame, folder: str) -> None:
+    """Requests as JSON lines, one per file: path, prompt, file, and the strict schema by name."""
+    schema = F.struct(
+        F.lit(SCHEMA_NAME).alias("name"), F.lit(True).alias("strict"), F.parse_json("schema_json").alias("schema")
+    )
+    requests.select(
+        "path", "prompt", F.struct("filename", "file_data").alias("file"), schema.alias("response_schema")
+    ).write.mode("overwrite").json(folder)

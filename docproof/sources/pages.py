@@ -1,21 +1,19 @@
-"""Document text from a page table (path, page_no, text)."""
+"""Document text from a page table (path, page_no, text).
 
-from pyspark.sql import DataFrame, functions as F
+Pages are ordered by number and then by text; pages without a number come first.
+"""
 
-from docproof.session import checkpointed
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A document with more pages than this is never held in one row.
-MAX_PAGES = 10_000
+# A document with more characters than this is never held in one row.
+MAX_CHARS = 16_000_000
+PAGES_PER_RANGE = 1_000
 
 
-def long_documents(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame | None:
-    """(path) of the documents with more pages than one row should hold; None if there are none.
-
-    Reads only the path column, and counts before the shuffle.
-    """
-    many = pages.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_pages)
-    found = checkpointed(many.select("path"))
-    return None if found.isEmpty() else found
+def long_documents(pages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(path) of the documents with more characters than one row should hold; summed before the shuffle."""
+    sizes = pages.groupBy("path").agg(F.sum(F.length("text")).alias("chars"))
+    return sizes.filter(F.col("chars") > max_chars).select("path")
 
 
 def join_pages(pages: DataFrame, *keys: str) -> DataFrame:
@@ -25,20 +23,43 @@ def join_pages(pages: DataFrame, *keys: str) -> DataFrame:
     return pages.groupBy(*keys).agg(F.array_join(ordered["text"], "\n").alias("raw_text"))
 
 
-def assemble_text(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+def range_of(page_no: Column) -> Column:
+    """Which range of page numbers a page belongs to; pages without a number form the first."""
+    return F.coalesce(F.floor(page_no / PAGES_PER_RANGE), F.lit(-(1 << 62)))
+
+
+def running_totals(pages: DataFrame, sizes: list[str], page_range: Column | None = None) -> DataFrame:
+    """Add ``<size>_before``: the total over all earlier pages of the document.
+
+    Totals per range of page numbers come first, so no window ever holds more than one range of
+    pages, or one small row per range.
+    """
+    ranged = pages.withColumn("_range", range_of(F.col("page_no")) if page_range is None else page_range)
+    earlier = Window.partitionBy("path").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ranged.groupBy("path", "_range")
+        .agg(*[F.sum(s).alias(s) for s in sizes])
+        .select("path", "_range", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_{s}_start") for s in sizes])
+    )
+    within = (
+        Window.partitionBy("path", "_range")
+        .orderBy(F.asc_nulls_first("page_no"), "text")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    totals = {f"{s}_before": F.col(f"_{s}_start") + F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sizes}
+    return (
+        ranged.join(starts, ["path", "_range"])
+        .withColumns(totals)
+        .drop("_range", *[f"_{s}_start" for s in sizes])
+    )
+
+
+def assemble_text(pages: DataFrame, part_chars: int = MAX_CHARS) -> DataFrame:
     """(path, part_no, raw_text): the whole text of every document, page by page.
 
-    Documents of up to ``max_pages`` pages are one part. Longer ones come in parts of that many
-    page numbers; their texts in part order, joined by line feeds, are the document.
+    Every document comes in parts of about ``part_chars`` characters, cut between pages; ordinary
+    documents are part 0 alone. The parts in order, joined by line feeds, are the document.
     """
-    long = long_documents(pages, max_pages)
-    if long is None:
-        whole, parts = pages, None
-    else:
-        whole = pages.join(long, "path", "left_anti")
-        parts = pages.join(long, "path", "left_semi")
-    texts = join_pages(whole, "path").select("path", F.lit(0).cast("bigint").alias("part_no"), "raw_text")
-    if parts is None:
-        return texts
-    numbered = parts.withColumn("part_no", F.floor(F.col("page_no") / max_pages).cast("bigint"))
-    return texts.unionByName(join_pages(numbered, "path", "part_no"))
+    sized = pages.withColumn("_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
+    part = F.floor(F.col("_chars_before") / part_chars).cast("bigint")
+    return join_pages(running_totals(sized, ["_chars"]).withColumn("part_no", part), "path", "part_no")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from docproof.schema import FIELDS
-from docproof.session import prepare
+from docproof.session import require_settings
 
 
 # The type of a sound response, as Spark spells it: known fields only, each text or null.
@@ -11,10 +11,14 @@ RECORD_TYPE = rf"\AOBJECT<(?:(?:{'|'.join(FIELDS)}): (?:STRING|VOID)(?:, |(?=>\z
 
 
 def one_response_per_path(responses: DataFrame) -> DataFrame:
-    """(path, output_text, n_responses): equal paths are merged before the shuffle, not collected."""
-    return responses.groupBy("path").agg(
-        F.max("output_text").alias("output_text"), F.count(F.lit(1)).alias("n_responses")
-    )
+    """(path, output_text, n_responses): equal paths are merged before the shuffle, not collected.
+
+    A response that was delivered more than once counts once; ``n_responses`` is 2 where a path
+    has different ones.
+    """
+    last, first, texts = F.max("output_text"), F.min("output_text"), F.count("output_text")
+    same = first.eqNullSafe(last) & ((texts == 0) | (texts == F.count(F.lit(1))))
+    return responses.groupBy("path").agg(last.alias("output_text"), F.when(same, 1).otherwise(2).alias("n_responses"))
 
 
 def ingest_responses(responses: DataFrame) -> DataFrame:
@@ -24,7 +28,7 @@ def ingest_responses(responses: DataFrame) -> DataFrame:
     null; missing keys are null. Spark's JSON functions ignore what follows the first value, so
     the text is parsed inside brackets and inside an object: only a lone value fits both.
     """
-    prepare(responses.sparkSession)
+    require_settings(responses.sparkSession)
     alone = F.json_object_keys(F.concat(F.lit('{"w":'), "output_text", F.lit("}"))) == F.array(F.lit("w"))
     parsed = (
         responses.withColumn(

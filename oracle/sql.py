@@ -4,8 +4,11 @@ The statements are put together from common table expressions: the documents der
 order tables (FIXTURES.md, part B), their typed values, and the verdicts.
 """
 
+import json
+
 from docproof.functions.reference_data import CURRENCIES, IBAN_LENGTHS
 from docproof.schema import FIELDS
+from docproof.sources.files import extraction_prompt, response_schema
 
 WS = (
     r"\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}"
@@ -34,7 +37,7 @@ src AS (
          '37040044' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS de,
          '10901014' || lpad(CAST(o_orderkey AS VARCHAR), 16, '0') AS pl
   FROM orders
-  JOIN supplier ON s_suppkey = o_custkey % 10
+  JOIN supplier ON s_suppkey = o_custkey % (SELECT count(*) FROM supplier)
   JOIN nation ON n_nationkey = s_nationkey),
 clean AS (
   SELECT k, issued, terms, price, '/inv/' || k9 || '.pdf' AS path,
@@ -295,7 +298,9 @@ _REVALIDATED = _with(
 
 
 def _passage():
-    passage = "substr(text, doc_id % 97 + 1, 60)"
+    last = "greatest(length(text) - 59, 1)"
+    start = f"CASE WHEN doc_id % 5 = 4 THEN {last} ELSE doc_id * 7919 % {last} + 1 END"
+    passage = f"substr(text, {start}, 60)"
     return (
         f"CASE doc_id % 3 WHEN 0 THEN replace(replace({passage}, ' ', '-'), ',', '/') "
         f"WHEN 1 THEN upper(replace(replace({passage}, ' ', ''), 'ß', 'ss')) ELSE replace({passage}, 'e', 'q') END"
@@ -308,7 +313,8 @@ ORACLE = {
     "scan_files": "SELECT count(*) AS n_files, count(*) AS n_names, 'txt' AS suffix FROM benchmark",
     "build_extraction_requests": "SELECT '/docs/' || CAST(doc_id AS VARCHAR) || '.pdf' AS path, "
     "CAST(doc_id AS VARCHAR) || '.pdf' AS filename, "
-    "'data:application/pdf;base64,' || to_base64(encode(text)) AS file_data FROM documents",
+    "'data:application/pdf;base64,' || to_base64(encode(text)) AS file_data, "
+    f"'{extraction_prompt(None)}' AS prompt, '{json.dumps(response_schema())}' AS schema_json FROM documents",
     "ingest_responses": _with(CLEAN, FAULTY, INGESTED) + f"SELECT path, {FIELD_LIST}, error FROM ingested",
     "assemble_text": "SELECT CAST(conv_id AS VARCHAR) AS path, CAST(0 AS BIGINT) AS part_no, "
     "coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE text <> ''), '') AS raw_text "
@@ -378,6 +384,10 @@ ORACLE = {
         f"SELECT path, {n} AS field_no, '{f}' AS field, coalesce({f}, '—') AS value, {_worst(f)} AS severity, false AS edited "
         "FROM judged WHERE error IS NULL" for n, f in enumerate(FIELDS, 1)
     ) + " UNION ALL SELECT path, 0, '(error)', error, 'error', false FROM judged WHERE error IS NOT NULL",
+    "field_review_of_edited": _REVALIDATED + " UNION ALL ".join(
+        f"SELECT path, {n} AS field_no, '{f}' AS field, coalesce({f}, '—') AS value, {_worst(f)} AS severity, {f} IS DISTINCT FROM was AS edited "
+        f"FROM again JOIN (SELECT path, {f} AS was FROM snapshots) USING (path) WHERE error IS NULL" for n, f in enumerate(FIELDS, 1)
+    ) + " UNION ALL SELECT path, 0, '(error)', error, 'error', false FROM again WHERE error IS NOT NULL",
     "run_summary": JUDGED + "SELECT count(*) FILTER (WHERE k % 2 = 1) AS processed, count(*) AS loaded, "
     "count(*) FILTER (WHERE status = 'flagged') AS flagged, count(*) FILTER (WHERE status = 'error') AS errors FROM judged",
     "review_list": JUDGED + f"SELECT {_RUN} AS run_id, path, CASE status WHEN 'ok' THEN '✓' WHEN 'flagged' THEN '⚠' ELSE '✗' END AS glyph, "
@@ -389,7 +399,7 @@ ORACLE = {
     ),
     "revalidate": _REVALIDATED + "SELECT path, seq AS version, status, error, rules FROM again",
     "stream_validate": _with(BASE, CAPTURED, judged("captured"))
-    + "SELECT path, status, error, rules FROM judged WHERE k % 50 NOT IN (46, 47)",
-    "stream_summary": JUDGED + "SELECT status, count(*) AS n_documents FROM judged WHERE k % 50 NOT IN (46, 47) GROUP BY status",
+    + "SELECT path, status, error, rules FROM judged",
+    "stream_summary": JUDGED + "SELECT status, count(*) AS n_documents FROM judged GROUP BY status",
     "stream_edits": _REVALIDATED + "SELECT path, seq AS version, status, error, rules FROM again",
 }
