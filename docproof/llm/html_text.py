@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 from docproof.llm.hash_table import Table, write_table
 from docproof.llm.support import ship_package, stored
 
-# A subtree is template if it stands on so many pages of its host, and on this share of them.
-MANY_PAGES, MANY_SHARE = 5, 0.2
+# A subtree is template if it stands on so many different pages of its host, however large the host is.
+MANY_PAGES = 5
 
 # How HTML treats these elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -243,18 +243,16 @@ def _hashes():
 
     def run(batches):
         for batch in batches:
-            hosts, keys, prints = [], [], []
+            keys, prints = [], []
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host, html = host_of(url), html or ""
                 elements, pieces = scan(html)
                 own = np.unique(subtree_keys(host, html, candidates(html, elements)))
                 content = xxhash.xxh64_intdigest("\n".join(blocks(pieces, elements, set())))
-                site = np.uint64(xxhash.xxh64_intdigest(host))
-                keys.append(np.append(own, site))
-                hosts.append(np.full(len(own) + 1, site))
-                prints.append(np.full(len(own) + 1, content, np.uint64))
-            columns = [pa.array((np.concatenate(c) if c else np.empty(0, np.uint64)).view(np.int64)) for c in (hosts, keys, prints)]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "key", "content"])
+                keys.append(own)
+                prints.append(np.full(len(own), content, np.uint64))
+            columns = [pa.array((np.concatenate(c) if c else np.empty(0, np.uint64)).view(np.int64)) for c in (keys, prints)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "content"])
 
     return run
 
@@ -263,14 +261,11 @@ def template_subtrees(pages: DataFrame, url: str = "url", html: str = "html") ->
     """(key, value): hashes of subtrees that recur on many pages of their host, with their page counts.
 
     Pages of a host with the same article count as one page, so copies of a page make no template.
-    Every page also gives its host's own key, whose count is the number of the host's pages.
+    Keys hold their host, so a count never mixes hosts.
     """
     rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"))
-    seen = rows.mapInArrow(_hashes(), "host long, key long, content long").distinct()
-    counts = stored(seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= MANY_PAGES) | (F.col("host") == F.col("key"))), "subtrees")
-    hosts = counts.filter("host = key").select("host", F.col("n").alias("pages"))
-    often = counts.filter("host <> key").join(hosts, "host").filter(F.col("n") >= MANY_SHARE * F.col("pages"))
-    return often.groupBy("key").agg(F.max("n").alias("value"))
+    seen = rows.mapInArrow(_hashes(), "key long, content long").distinct()
+    return seen.groupBy("key").agg(F.count(F.lit(1)).alias("value")).filter(F.col("value") >= MANY_PAGES)
 
 
 def extract_text(

@@ -78,3 +78,10 @@ def test_given_pages_keep_their_articles(spark, sf_dir):
 
 def test_empty_table(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_template_of_a_section_goes_on_a_large_host(spark):
+    box = "<div><div>Team of the section</div><ul><li>Contact</li></ul></div>"
+    rows = [(i, f"http://big.example/{i}", f"<body><div><p>Story {i}</p></div>{box if i % 20 == 0 else ''}</body>") for i in range(200)]
+    found = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {i: f"Story {i}" for i in range(200)}
