@@ -1,13 +1,16 @@
 """One query per operator over its whole table, with production parameters, and SQL where it can be said."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docproof.llm.bpe import digests
+from docproof.llm.clusters import cluster
 from docproof.llm.cotraining import classify
 from docproof.llm.embedding_dedup import near_vectors
+from docproof.llm.hard_negatives import hard_negatives
 from docproof.llm.html_text import extract_text
 from docproof.llm.kneser_ney import score_held_out
 from docproof.llm.minhash import near_duplicates
+from docproof.llm.packing import placed
 from docproof.llm.raking import AXES, BRIEF_TOKENS, TEMPER, TOPIC_MARKS, mixture
 from docproof.llm.sharding import shards
 from docproof.llm.token_counts import token_counts
@@ -65,6 +68,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), "vec_id % 100 = 0", positives=5, negatives=10, low=30, high=90)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(table(spark, sf_dir, "documents"), vocabulary(), most=2048, end=0)
+
+
+def op13_heap_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64.0, seed=1)
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
@@ -76,10 +93,12 @@ QUERIES = {
     "op9_mixture_raking": op9_mixture_raking,
     "op10_token_counts": op10_token_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_heap_clustering": op13_heap_clustering,
 }
 
 
-
 def _raking_sql(rounds: int = 100) -> str:
     """The mixture in SQL: one recursion step rakes one axis, in turn."""
     marks = " ".join(
@@ -120,6 +139,43 @@ from placed d join chances c on {same}
 """
 
 
+def _clustering_sql(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    """Clustering in SQL: each round measures every vector against every centroid."""
+    square = "list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+
+    def nearest(turn):
+        return f"""a{turn} as (
+  select rid, vec_id, v, cluster, distance from (
+    select v.rid, v.vec_id, v.v, c.cluster, {square} as distance from kept v cross join c{turn} c
+  ) qualify row_number() over (partition by rid order by distance, cluster) = 1
+)"""
+
+    def moved(turn):
+        return f"""m{turn + 1} as (
+  select cluster, i, floor_div(sum(v[i]), count(*)) as x from a{turn}, range(1, {dims + 1}) r(i) group by cluster, i
+), c{turn + 1} as (
+  select c.cluster, coalesce(n.v, c.v) as v from c{turn} c
+  left join (select cluster, list(x::bigint order by i) as v from m{turn + 1} group by cluster) n on c.cluster = n.cluster
+)"""
+
+    steps = ", ".join(f"{nearest(t)}, {moved(t)}" for t in range(rounds))
+    text = "array_to_string(list_transform(c.v, lambda x: x::varchar), ',')"
+    return f"""
+with kept as (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), c0 as (
+  select row_number() over (order by sha256('1:' || vec_id::varchar) nulls last, v) - 1 as cluster, v from kept
+  qualify cluster < {k}
+), {steps}, {nearest(rounds)}, totals as (
+  select cluster, sum(distance)::bigint as cluster_inertia from a{rounds} group by cluster
+)
+select a.vec_id, a.cluster::int as cluster, a.distance, t.cluster_inertia,
+  (select sum(distance) from a{rounds})::bigint as inertia, sha256({text}) as centroid_sha256
+from a{rounds} a join totals t using (cluster) join c{rounds} c using (cluster)
+""".replace("floor_div(sum(v[i]), count(*))", "((sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*))")
+
+
 # The two alphabets between which only A-Z are lower-cased.
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -184,4 +240,24 @@ select query_id, rank::int as rank, vec_id, score from (
 ) where rank <= 5
 """,
     "op9_mixture_raking": _raking_sql(),
+    "op11_hard_negatives": """
+with good as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint)::double[] as v from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_dot_product(a.v, c.v)::bigint as score
+  from good a join good c on a.vec_id <> c.vec_id and len(a.v) = len(c.v) where a.vec_id % 100 = 0
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.positive_id, row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id)::int as rank,
+  s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scored s on p.anchor_id = s.anchor_id and not s.same
+  and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+qualify rank <= 10
+""",
+    "op13_heap_clustering": _clustering_sql(),
 }
