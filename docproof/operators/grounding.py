@@ -1,7 +1,8 @@
 """Facts that need the source text: text layer, and which fields occur in it.
 
-Ordinary documents are one row with their text. Documents of more characters than a row should
-hold are checked block by block, and the blocks' answers are combined; both give the same facts.
+Ordinary documents are one row with their text. Documents of more characters than a row should hold
+come as several blocks of whole pages: every block is checked alone, and what could run over the
+ends of blocks is checked on their seams. Both give the same facts.
 """
 
 from functools import reduce
@@ -17,10 +18,10 @@ from docproof.functions.predicates import (
     whole_and_cents,
 )
 from docproof.functions.text import WS, normalize_text
-from docproof.sources.pages import range_of, running_totals
 
 # The text fields looked up in the source, in the order they are reported.
 GROUNDED = ["company_name", "invoice_number", "account", "tax_id"]
+FOUND = [f"{f}_found" for f in [*GROUNDED, "amount"]]
 
 
 def with_cents(df: DataFrame) -> DataFrame:
@@ -28,46 +29,57 @@ def with_cents(df: DataFrame) -> DataFrame:
     return with_amount(df, "amount").withColumn("cents", to_cents(F.col("parsed_amount")))
 
 
-def ground(df: DataFrame, strict_cents: bool = False) -> DataFrame:
-    """Replace ``raw_text`` by the facts. Absent fields, and rows without text, count as grounded.
+def find(df: DataFrame, strict_cents: bool = False, cut: Column | None = None) -> DataFrame:
+    """Replace ``raw_text`` by ``has_text`` and what is found in this text.
 
     The text is normalized only for rows where a plain search did not settle every field, and
-    then once for all of them.
+    then once for all of them. Where ``cut`` says that the text is only a block of its document,
+    ``plain`` and ``digits`` are what its ends show to its neighbours.
     """
+    cut = F.lit(False) if cut is None else cut
     text = F.col("raw_text")
-    df = df.withColumn("has_text", has_text_layer(text))
+    df = df.withColumns({"has_text": has_text_layer(text), "_cut": cut})
     quick = {
-        f"_{f}": F.when(F.col("has_text") & is_present(F.col(f)), quick_grounding(F.col(f), text)).otherwise(True)
+        f"_{f}": F.when(F.col("has_text") & is_present(F.col(f)), quick_grounding(F.col(f), text)).otherwise(False)
         for f in GROUNDED
     }
     undecided = reduce(Column.__or__, [F.col(c).isNull() for c in quick])
     amount = F.when(
         F.col("has_text") & F.col("cents").isNotNull(),
         is_amount_grounded(F.col("cents"), text, strict_cents),
-    ).otherwise(True)
+    ).otherwise(False)
+    found = {
+        f"{f}_found": F.coalesce(F.col(f"_{f}"), F.contains(F.col("_normalized"), normalize_text(F.col(f))))
+        for f in GROUNDED
+    }
     return (
         df.withColumns(quick)
-        .withColumn("_normalized", F.when(undecided, normalize_text(text)))
-        .withColumns(
-            {
-                **{
-                    f"{f}_grounded": F.coalesce(
-                        F.col(f"_{f}"), F.contains(F.col("_normalized"), normalize_text(F.col(f)))
-                    )
-                    for f in GROUNDED
-                },
-                "amount_grounded": amount,
-            }
-        )
-        .drop("raw_text", "_normalized", *quick)
+        .withColumn("_normalized", F.when(undecided | F.col("_cut"), normalize_text(text)))
+        .withColumns({
+            **found, "amount_found": amount,
+            "plain": F.when(F.col("_cut"), _ends(F.col("_normalized"), _longest_value(), "\n")),
+            "digits": F.when(F.col("_cut"), _ends(encode_digits(text), _longest_amount(), FOREIGN_DIGIT + "x")),
+        })
+        .drop("raw_text", "_normalized", "_cut", *quick)
     )
 
 
-# ---------------------------------------------------------------- long documents
+def conclude(df: DataFrame) -> DataFrame:
+    """What was found, as facts. Absent fields, and documents without text, count as grounded."""
+    searched = {f: is_present(F.col(f)) for f in GROUNDED} | {"amount": F.col("cents").isNotNull()}
+    facts = {f"{f}_grounded": ~F.col("has_text") | ~present | F.col(f"{f}_found") for f, present in searched.items()}
+    return df.withColumns(facts).drop(*FOUND)
+
+
+def ground(df: DataFrame, strict_cents: bool = False) -> DataFrame:
+    """Replace ``raw_text``, the document's whole text, by the facts."""
+    return conclude(find(df, strict_cents).drop("plain", "digits"))
 
-BLOCK_CHARS = 1_000_000
-LAST_RANGE = 1 << 62
-SALTS = 64
+
+# ---------------------------------------------------------------- documents in blocks
+
+# Fixed value: a digit that no amount is written with; after the cut end of a number it says that the number goes on.
+FOREIGN_DIGIT = "\u0660"
 
 
 def encode_digits(text: Column) -> Column:
@@ -85,126 +97,58 @@ def encode_digits(text: Column) -> Column:
 def encoded_amount_pattern(whole: Column, fraction: Column) -> Column:
     """The amount as a pattern over ``encode_digits`` and one more character.
 
-    What follows the cents must be there and be no digit: a block may end in the middle of a
-    number, and only the end of the document is marked by a letter.
+    What follows the cents must be there and be no digit: a seam may be cut in the middle of a
+    number, and the end of the document is marked by a letter.
     """
     digits = F.regexp_replace(whole, "([0-9])(?=[0-9])", r"$1(?:\\.*<)?+")
     return F.concat(F.lit("<"), digits, F.lit(r"\.<"), fraction, F.lit(r"(?=\P{Nd})"))
 
 
-def _salted(records: DataFrame) -> DataFrame:
-    """Copies of the (few, small) records of long documents, so that a huge one joins in many tasks."""
-    return records.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
+def _longest_value() -> Column:
+    return F.greatest(*[F.coalesce(F.length(normalize_text(F.col(f))), F.lit(0)) for f in GROUNDED], F.lit(1))
 
-def _blocks(pieces: DataFrame, start: str, overlap: str, block_chars: int) -> DataFrame:
-    """(path, block, text): the document's pieces cut into blocks that overlap by ``overlap``.
 
-    Every stretch of up to ``overlap`` characters lies whole in the block it starts in. A block
-    holds at most ``block_chars + overlap`` characters, however long the document is.
-    """
-    begin, size = F.col(start), F.length("piece")
-    first = F.greatest(F.floor((begin - F.col(overlap)) / block_chars), F.lit(0))
-    last = F.floor((begin + size - 1) / block_chars)
-    cut_from = F.greatest(begin, F.col("block") * block_chars)
-    cut_to = F.least(begin + size, (F.col("block") + 1) * block_chars + F.col(overlap))
-    slices = (
-        pieces.withColumn("block", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
-        .withColumns({"_from": cut_from, "_to": cut_to})
-        .select(
-            "path",
-            "block",
-            F.struct(
-                F.col("_from").alias("at"),
-                F.col("marks_before").alias("marks"),
-                F.substr("piece", (F.col("_from") - begin + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int")).alias("s"),
-            ).alias("slice"),
-        )
-    )
-    return slices.groupBy("path", "block").agg(F.sort_array(F.collect_list("slice")).alias("slices"))
+def _longest_amount() -> Column:
+    """Characters that an amount takes in ``encode_digits`` at most."""
+    return 6 * F.coalesce(F.length(F.col("cents").cast("string")), F.lit(0)) + 2
 
 
-def _joined_with_marks(slices: str) -> Column:
-    """Slices in order, with up to two dots where pages of nothing but marks stood between."""
-    return F.expr(
-        f"array_join(transform({slices}, (x, i) -> concat("
-        f"repeat('.', cast(least(2, x.marks - if(i = 0, x.marks, {slices}[i - 1].marks)) as int)), x.s)), '')"
+def _ends(text: Column, size: Column, between: str) -> Column:
+    """First and last ``size`` characters with something between that no value runs over; short texts whole."""
+    return F.when(F.length(text) <= 2 * size, text).otherwise(
+        F.concat(F.left(text, size), F.lit(between), F.right(text, size))
     )
 
 
-def ground_long(
-    records: DataFrame,
-    pages: DataFrame,
-    strict_cents: bool = False,
-    block_chars: int = BLOCK_CHARS,
-) -> DataFrame:
-    """Facts for documents too long for one row; ``records`` has ``cents``, ``pages`` only their pages.
+def combine(blocks: DataFrame, strict_cents: bool = False) -> DataFrame:
+    """One row per document from its blocks (path, place, record, and what ``find`` gives).
 
-    No task ever holds more than one block of text or one range of pages.
+    A value that lies in no single block runs over the seam of two neighbours, or over several that
+    are shorter than itself and whole in the seams. Ordinary documents have one block and no seams.
     """
-    whole, fraction = whole_and_cents(F.col("cents"), strict_cents)
-    needles = (
-        records.withColumns({f"_{f}": F.when(is_present(F.col(f)), normalize_text(F.col(f))) for f in GROUNDED})
-        .withColumn("_amount", F.when(F.col("cents").isNotNull(), encoded_amount_pattern(whole, fraction)))
-        .withColumn("_text_overlap", F.greatest(*[F.coalesce(F.length(f"_{f}"), F.lit(0)) for f in GROUNDED], F.lit(1)).cast("bigint"))
-        .withColumn("_digit_overlap", (6 * F.coalesce(F.length(F.col("cents").cast("string")), F.lit(0)) + 2).cast("bigint"))
-        .select("path", *[f"_{f}" for f in GROUNDED], "_amount", "_text_overlap", "_digit_overlap")
-    )
-    text = pages.groupBy("path").agg(F.bool_or(has_text_layer(F.col("text"))).alias("has_text"))
-    overlaps = _salted(needles.select("path", "_text_overlap", "_digit_overlap"))
-    only_marks = F.col("_digits").rlike(r"\A\.*\z")
-    texts = (
-        pages.filter(F.col("text") != "")
-        .withColumn("_salt", F.coalesce(F.pmod("page_no", F.lit(SALTS)), F.lit(0)).cast("int"))
-        .join(overlaps, ["path", "_salt"])
-        .select(
-            "path", "page_no", "text", range_of(F.col("page_no")).alias("_at"), normalize_text(F.col("text")).alias("_plain"),
-            encode_digits(F.col("text")).alias("_digits"), "_text_overlap", "_digit_overlap",
+    ends = F.when(F.col("plain").isNotNull(), F.struct("place", "plain", "digits"))
+    joined = (
+        blocks.withColumn("seam", ends)
+        .groupBy("path")
+        .agg(
+            F.any_value("record").alias("record"),
+            F.bool_or("has_text").alias("has_text"),
+            F.bool_or("has_pages").alias("has_pages"),
+            *[F.bool_or(c).alias(c) for c in FOUND],
+            F.sort_array(F.collect_list("seam")).alias("seams"),
         )
+        .select("path", "record.*", "has_text", "has_pages", *FOUND, "seams")
     )
-    ends = needles.select(
-        "path", F.lit(None).cast("bigint").alias("page_no"), F.lit("").alias("text"), F.lit(LAST_RANGE).alias("_at"),
-        F.lit("").alias("_plain"), F.lit("x").alias("_digits"), "_text_overlap", "_digit_overlap",
-    )
-    sized = texts.unionByName(ends).withColumns(
-        {
-            "plain": F.length("_plain").cast("bigint"),
-            "digit": F.when(only_marks, 0).otherwise(F.length("_digits")).cast("bigint"),
-            "marks": F.when(only_marks, F.length("_digits")).otherwise(0).cast("bigint"),
-        }
-    )
-    placed = running_totals(sized, ["plain", "digit", "marks"], F.col("_at")).drop("text", "_at")
-    plain_pieces = placed.filter("plain > 0").select(
-        "path", F.col("_plain").alias("piece"), "plain_before", F.lit(0).cast("bigint").alias("marks_before"), "_text_overlap"
-    )
-    digit_pieces = placed.filter("digit > 0").select(
-        "path", F.col("_digits").alias("piece"), "digit_before", "marks_before", "_digit_overlap"
-    )
-    plain_blocks = _blocks(plain_pieces, "plain_before", "_text_overlap", block_chars).select(
-        "path", "block", F.array_join(F.col("slices")["s"], "").alias("plain"), F.lit(None).cast("string").alias("digits")
-    )
-    digit_blocks = _blocks(digit_pieces, "digit_before", "_digit_overlap", block_chars).select(
-        "path", "block", F.lit(None).cast("string").alias("plain"), _joined_with_marks("slices").alias("digits")
-    )
-    blocks = plain_blocks.unionByName(digit_blocks).withColumn("_salt", F.pmod("block", F.lit(SALTS)).cast("int"))
-    checks = [
-        *[F.bool_or(F.contains("plain", f"_{f}")).alias(f"_{f}_found") for f in GROUNDED],
-        F.bool_or(F.rlike("digits", F.col("_amount"))).alias("_amount_found"),
-    ]
-    found = blocks.join(_salted(needles), ["path", "_salt"]).groupBy("path").agg(*checks)
-    facts = (
-        records.join(text, "path", "left")
-        .join(found, "path", "left")
-        .join(needles.select("path", *[F.col(f"_{f}") for f in GROUNDED]), "path", "left")
-        .withColumn("has_text", F.coalesce("has_text", F.lit(False)))
-    )
-    grounded = {
-        f"{f}_grounded": F.when(F.col("has_text") & (F.col(f"_{f}") != ""), F.coalesce(f"_{f}_found", F.lit(False))).otherwise(True)
-        for f in GROUNDED
-    }
-    grounded["amount_grounded"] = F.when(
-        F.col("has_text") & F.col("cents").isNotNull(), F.coalesce("_amount_found", F.lit(False))
-    ).otherwise(True)
-    return facts.withColumns(grounded).drop(
-        *[f"_{f}" for f in GROUNDED], *[f"_{f}_found" for f in GROUNDED], "_amount_found"
+    has_seams = F.size("seams") > 1
+    whole, fraction = whole_and_cents(F.col("cents"), strict_cents)
+    over_seams = {
+        f"{f}_found": F.contains(F.col("_plain"), normalize_text(F.col(f))) & is_present(F.col(f)) for f in GROUNDED
+    } | {"amount_found": F.rlike(F.col("_digits"), encoded_amount_pattern(whole, fraction))}
+    return (
+        joined.withColumns({
+            "_plain": F.when(has_seams, F.array_join(F.col("seams")["plain"], "")),
+            "_digits": F.when(has_seams, F.concat(F.array_join(F.col("seams")["digits"], ""), F.lit("x"))),
+        })
+        .withColumns({c: F.col(c) | F.coalesce(over, F.lit(False)) for c, over in over_seams.items()})
+        .drop("seams", "_plain", "_digits")
     )

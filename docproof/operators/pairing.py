@@ -6,6 +6,9 @@ from docproof.schema import FIELDS
 from docproof.sources.responses import ingest_responses, one_response_per_path
 
 
+MISSING_TEXT = "MissingText: no pages for this document"
+
+
 def capture_records(files: DataFrame, responses: DataFrame) -> DataFrame:
     """(path, ten fields, error): exactly one row per file, whatever its response looks like."""
     single = one_response_per_path(responses)
@@ -26,7 +29,7 @@ def pair_with_text(extractions: DataFrame, texts: DataFrame) -> DataFrame:
 
 def missing_text(paired: DataFrame) -> DataFrame:
     """Turn a missing text into an error; an earlier error stays."""
-    no_pages = F.when(F.col("raw_text").isNull(), "MissingText: no pages for this document")
+    no_pages = F.when(F.col("raw_text").isNull(), MISSING_TEXT)
     return paired.withColumn("error", F.coalesce("error", no_pages))
 
 

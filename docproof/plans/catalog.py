@@ -158,7 +158,7 @@ def overlay_edits(spark, sf_dir):
 @query
 def changed_only(spark, sf_dir):
     d = Documents(spark, sf_dir)
-    return E.changed_only(verdicts_of(d), d.edits).select("path", "status")
+    return E.changed_only(d.first_verdicts(), d.edits).select("path", "status")
 
 
 @query
@@ -172,7 +172,7 @@ def rejected_edits(spark, sf_dir):
         F.when(k % 3 == 0, "drop").otherwise("edit").alias("op"),
         F.lit("23").alias("text"),
     )
-    return E.rejected_edits(verdicts_of(d), d.edits.unionByName(strays)).drop("text")
+    return E.rejected_edits(d.first_verdicts(), d.edits.unionByName(strays)).drop("text")
 
 
 # ---------------------------------------------------------------- typed projection
@@ -336,7 +336,7 @@ def field_review(spark, sf_dir):
 def field_review_of_edited(spark, sf_dir):
     """The same table for the newest versions of edited documents."""
     d = Documents(spark, sf_dir)
-    return review.field_review(recheck_edited(verdicts_of(d), d.edits, d.pages, REF_DATE))
+    return review.field_review(recheck_edited(d.first_verdicts(), d.edits, d.pages, REF_DATE))
 
 
 def _in_two_runs(v: DataFrame) -> DataFrame:
@@ -381,7 +381,7 @@ def field_is_edited(spark, sf_dir):
 @query
 def revalidate(spark, sf_dir):
     d = Documents(spark, sf_dir)
-    again = recheck_edited(verdicts_of(d), d.edits, d.pages, REF_DATE)
+    again = recheck_edited(d.first_verdicts(), d.edits, d.pages, REF_DATE)
     return again.select("path", "version", "status", "error", fired_rules())
 
 
@@ -441,7 +441,7 @@ def stream_summary(spark, sf_dir):
 @query
 def stream_edits(spark, sf_dir):
     d = Documents(spark, sf_dir)
-    results, pages = _stored_by_path(spark, verdicts_of(d), "results"), _stored_by_path(spark, d.pages, "pages")
+    results, pages = _stored_by_path(spark, d.first_verdicts(), "results"), _stored_by_path(spark, d.pages, "pages")
     log, out = _stored(spark, d.edits, "edits"), work_folder(spark, "versions")
     jobs.stream_edits(
         _stream_of(spark, log, EDIT), results, pages, out, REF_DATE, work_folder(spark, "progress")

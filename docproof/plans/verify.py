@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from docproof.functions.reference_data import CURRENCIES, IBAN_LENGTHS
 from docproof.operators.edits import applicable, overlay_edits
-from docproof.operators.grounding import BLOCK_CHARS, ground, ground_long, with_cents
-from docproof.operators.pairing import capture_records, missing_text, pair_with_text
+from docproof.operators.grounding import GROUNDED, combine, conclude, find, with_cents
+from docproof.operators.pairing import MISSING_TEXT, capture_records
 from docproof.operators.rules import apply_rules
 from docproof.schema import FIELDS, unpack
-from docproof.sources.pages import MAX_CHARS, join_pages, long_documents
+from docproof.sources.pages import BLOCK_CHARS, MAX_CHARS, block_of, joined_text, range_of
+
+
+def _kept_by_path(pages: DataFrame) -> bool:
+    """Whether the table is stored so that all pages of a document are read by one task (``save_bucketed``)."""
+    return "hashpartitioning(path" in pages._jdf.queryExecution().sparkPlan().outputPartitioning().toString()
 
 
 def with_facts(
@@ -20,25 +25,43 @@ def with_facts(
     max_chars: int = MAX_CHARS,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """Records (path, ten fields, error) with the facts that their document's text gives.
+    """Records (path, ten fields, error), one per path, with the facts that their document's text gives.
 
-    Only documents of at most ``max_chars`` characters are put together in one row. One plan holds
-    both ways; building it starts no job.
+    The text is shuffled once, by path and range of page numbers, so that the pages of a huge
+    document are dealt over tasks; a first look at the page numbers alone tells which ranges a
+    record has to be sent to. A range is one row of text, or several blocks if it has more than
+    ``max_chars`` characters. Building the plan starts no job.
     """
     columns = ["path", *FIELDS, "error"]
     records = with_cents(records.select(*columns, *[c for c in records.columns if c not in columns]))
-    long = long_documents(pages, max_chars)
-    short_pages = pages.join(long, "path", "left_anti")
-    short_records = records.join(long, "path", "left_anti")
-    paired = missing_text(pair_with_text(short_records, join_pages(short_pages, "path")))
-    facts = ground(paired, strict_cents)
-    long_facts = ground_long(
-        records.join(long, "path", "left_semi"),
-        pages.join(long, "path", "left_semi"),
-        strict_cents,
-        block_chars,
+    record = F.struct(*[c for c in records.columns if c != "path"])
+    asked = records.select("path", record.alias("record"))
+    if _kept_by_path(pages):
+        keys = ["path"]
+        asked = asked.withColumns({"_range": F.lit(0).cast("bigint"), "_spread": F.lit(False)})
+        pages = pages.select("path", "page_no", "text", F.lit(True).alias("_page"))
+    else:
+        keys = ["path", "_range"]
+        pages = pages.select("path", range_of(F.col("page_no")).alias("_range"), "page_no", "text", F.lit(True).alias("_page"))
+        ranges = pages.groupBy("path").agg(F.collect_set("_range").alias("_ranges"))
+        asked = asked.join(ranges, "path", "left").select(
+            "path", "record", F.explode_outer("_ranges").alias("_range"), (F.size("_ranges") > 1).alias("_spread")
+        )
+    read = asked.join(pages, keys, "left").withColumn("_block", block_of(keys, max_chars, block_chars))
+    texts = read.groupBy("path", "_range", "_block").agg(
+        F.any_value("record").alias("record"),
+        F.bool_or("_spread").alias("_spread"),
+        F.bool_or("_page").alias("has_pages"),
+        joined_text().alias("raw_text"),
     )
-    return facts.unionByName(long_facts)
+    blocks = texts.select(
+        "path", F.struct("_range", "_block").alias("place"), "record", *[F.col(f"record.{c}") for c in [*GROUNDED, "cents"]],
+        F.coalesce("has_pages", F.lit(False)).alias("has_pages"),
+        (F.coalesce("_spread", F.lit(False)) | F.col("_block").isNotNull()).alias("cut"), "raw_text",
+    )
+    facts = conclude(combine(find(blocks, strict_cents, F.col("cut")), strict_cents))
+    no_pages = F.when(~F.col("has_pages"), MISSING_TEXT)
+    return facts.withColumn("error", F.coalesce("error", no_pages)).drop("has_pages")
 
 
 def verify_documents(
@@ -65,22 +88,18 @@ def recheck_edited(
     currencies=CURRENCIES,
     **options,
 ) -> DataFrame:
-    """New versions of the documents that the log touches; ``results`` are their first verdicts.
+    """New versions of the documents that the log touches; ``results`` are their stored first verdicts.
 
-    Pages of other documents are dropped before any text is put together. The version is the
-    highest seq applied, so running the same log again gives the same version.
+    Pages of other documents are dropped before the text is shuffled: while the log is small, by a
+    broadcast of its paths. The version is the highest seq applied, so running the same log again
+    gives the same version.
     """
-    touched = applicable(log).select("path").distinct()
-    snapshots = (
-        results.filter(F.col("extracted").isNotNull())
-        .select("path", "extracted")
-        .join(touched, "path", "left_semi")
-    )
-    current = overlay_edits(snapshots, log)
+    snapshots = results.filter(F.col("extracted").isNotNull()).select("path", "extracted")
+    current = overlay_edits(snapshots, log, "inner")
     records = current.select(
         "path", *unpack("data"), F.lit(None).cast("string").alias("error"), "extracted",
         F.col("seq").alias("version"),
     )
-    needed = pages.join(touched, "path", "left_semi")
+    needed = pages.join(applicable(log).select("path"), "path", "left_semi")
     facts = with_facts(records, needed, **options)
     return apply_rules(facts, ref_date, iban_lengths, currencies, keep=["extracted", "version"])

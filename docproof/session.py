@@ -62,7 +62,10 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core on inputs that come in fewer pieces; large inputs are left as they are."""
+def spread(df: DataFrame, key: str, source: DataFrame | None = None) -> DataFrame:
+    """Use every core on inputs that come in fewer pieces; large inputs are left as they are.
+
+    ``source`` is the table that ``df`` was made from, where counting df's own pieces would start jobs.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if (df if source is None else source).rdd.getNumPartitions() < cores else df

@@ -5,22 +5,21 @@ Pages are ordered by number and then by text; pages without a number come first.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A document with more characters than this is never held in one row.
+# More characters than this of one document are never held in one row, but cut into blocks.
 MAX_CHARS = 16_000_000
+BLOCK_CHARS = 1_000_000
 PAGES_PER_RANGE = 1_000
 
 
-def long_documents(pages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """(path) of the documents with more characters than one row should hold; summed before the shuffle."""
-    sizes = pages.groupBy("path").agg(F.sum(F.length("text")).alias("chars"))
-    return sizes.filter(F.col("chars") > max_chars).select("path")
+def joined_text() -> Column:
+    """Aggregate: texts of the non-empty pages of a group, in page order, with line feeds between."""
+    page = F.when(F.col("text") != "", F.struct("page_no", "text"))
+    return F.array_join(F.sort_array(F.collect_list(page))["text"], "\n")
 
 
 def join_pages(pages: DataFrame, *keys: str) -> DataFrame:
-    """Texts of the non-empty pages of a group, in page order, with line feeds between."""
-    page = F.when(F.col("text") != "", F.struct("page_no", "text"))
-    ordered = F.sort_array(F.collect_list(page))
-    return pages.groupBy(*keys).agg(F.array_join(ordered["text"], "\n").alias("raw_text"))
+    """Texts of the non-empty pages of a group."""
+    return pages.groupBy(*keys).agg(joined_text().alias("raw_text"))
 
 
 def range_of(page_no: Column) -> Column:
@@ -28,6 +27,18 @@ def range_of(page_no: Column) -> Column:
     return F.coalesce(F.floor(page_no / PAGES_PER_RANGE), F.lit(-(1 << 62)))
 
 
+def block_of(keys: list[str], max_chars: int = MAX_CHARS, block_chars: int = BLOCK_CHARS) -> Column:
+    """The block of a page in its group of pages; null where the group is short enough to be one row.
+
+    Groups of more than ``max_chars`` characters are cut between pages, about every ``block_chars``.
+    """
+    in_order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("page_no"), "text")
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("bigint")
+    total = F.sum(size).over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = F.coalesce(F.sum(size).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return F.when(total > max_chars, F.floor(before / block_chars).cast("bigint"))
+
+
 def running_totals(pages: DataFrame, sizes: list[str], page_range: Column | None = None) -> DataFrame:
     """Add ``<size>_before``: the total over all earlier pages of the document.
 

@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -363,6 +364,30 @@ def test_plans(spark):
     assert "PythonUDF" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def scans(df, *columns):
+    """Planned file scans that read these columns, among others."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    found = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
+    return sum(1 for read in found if all(re.search(rf"\b{c}#", read) for c in columns))
+
+
+def test_every_table_is_scanned_once_for_its_content(spark):
+    """Page texts and responses are read once; page numbers a second time, without the texts."""
+    f, p, r = tables(spark)
+    kept = [work_folder(spark, name) for name in ("files", "pages", "responses", "results", "log")]
+    for df, folder in zip((f, p, r), kept):
+        df.write.parquet(folder)
+    read = spark.read.parquet
+    first = verify_documents(*[read(folder) for folder in kept[:3]], REF)
+    assert scans(first, "output_text") == 1 and scans(first, "text") == 1 and scans(first, "page_no") == 2
+    first.write.parquet(kept[3])
+    spark.createDataFrame(EDITS, EDIT).write.parquet(kept[4])
+    again = recheck_edited(read(kept[3]), read(kept[4]), read(kept[1]), REF)
+    assert scans(again, "extracted") == 1 and scans(again, "page_no", "text") == 1 and scans(again, "page_no") == 2
+    assert scans(again, "field", "seq", "op") == 1 and scans(again, "output_text") == 0
+    assert again._jdf.queryExecution().executedPlan().toString().count("Exchange ") < 15
+
+
 def test_bucketed_tables_are_not_shuffled(spark):
     f, p, r = tables(spark, 10)
     stored = {"docproof_files": f, "docproof_pages": p, "docproof_responses": r}
