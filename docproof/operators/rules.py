@@ -147,20 +147,21 @@ def apply_rules(
     columns = [c for c in typed.columns if c != "error"]
     typed = typed.select(*columns, F.inline(F.array(outcome)))
 
-    none = F.array().cast(f"array<{ISSUE.simpleString()}>")
-
-    def issue(r: Rule) -> Column:
-        entry = F.struct(
-            F.lit(r.no).alias("rule_no"), F.lit(r.name).alias("rule"), F.lit(r.field).alias("field"),
-            r.message.alias("message"), F.lit(r.severity).alias("severity"),
-        )
-        return F.when(F.col("fired").bitwiseAND(1 << r.no) != 0, F.array(entry)).otherwise(none)
+    texts = F.struct(*[r.message.alias(f"m{r.no}") for r in table])
+    typed = typed.withColumn("_messages", F.when(F.col("fired") != 0, texts))
+    none = f"cast(array() as array<{ISSUE.simpleString()}>)"
+    entries = ", ".join(
+        f"if(fired & {1 << r.no} != 0, array(named_struct('rule_no', {r.no}, 'rule', '{r.name}', 'field', '{r.field}', "
+        f"'message', _messages.m{r.no}, 'severity', '{r.severity}')), {none})"
+        for r in table
+    )
+    issues = F.expr(f"if(fired = 0, {none}, concat({entries}))")
 
     usable = F.col("error").isNull()
     return typed.select(
         "path",
         F.when(usable, record_struct()).alias("data"),
-        F.when(usable & (F.col("fired") == 0), none).when(usable, F.concat(*map(issue, table))).alias("issues"),
+        F.when(usable, issues).alias("issues"),
         F.when(usable, flag_for_review(errors)).alias("flagged"),
         "error",
         status(errors).alias("status"),

@@ -11,7 +11,7 @@ from docproof.plans.verify import recheck_edited, verify_documents
 from docproof.schema import EDIT, FIELDS, RESPONSE, unpack
 from docproof.session import prepare, spread, work_folder
 from docproof.sources import files as S, pages as G, responses as R, results as W
-from docproof.streaming import jobs
+from docproof.streaming import arrivals, jobs
 
 QUERIES = {}
 
@@ -104,6 +104,14 @@ def assemble_text(spark, sf_dir):
     return G.assemble_text(pages)
 
 
+@query
+def assemble_text_in_parts(spark, sf_dir):
+    """Conversations in parts of 200 characters, cut between turns."""
+    turns = read(spark, sf_dir, "conversations")
+    pages = turns.select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("page_no"), "text")
+    return G.assemble_text(pages, part_chars=200)
+
+
 @query
 def page_count(spark, sf_dir):
     d = Documents(spark, sf_dir)
@@ -421,6 +429,26 @@ def stream_validate(spark, sf_dir):
     return v.select("path", "status", "error", fired_rules())
 
 
+@query
+def stream_verify(spark, sf_dir):
+    """Verdicts of documents whose pages and responses arrive on two streams; what never becomes whole expires."""
+    d = Documents(spark, sf_dir)
+    day = F.expr("timestamp '2026-01-01 00:00:00' + make_interval(0, 0, 0, pmod(xxhash64(path), 3))")
+    end = spark.range(1).select(F.lit("/end").alias("path"), F.lit(1).cast("bigint").alias("page_no"), F.lit("").alias("text"),
+                                F.expr("timestamp '2026-03-01 00:00:00'").alias("arrived"))
+    pages = _stored(spark, d.pages.withColumn("arrived", day).unionByName(end), "arriving-pages")
+    answers = d.responses.withColumns({"n_pages": F.lit(3).cast("bigint"), "arrived": day})
+    responses = _stored(spark, answers, "arriving-responses")
+    store, out = work_folder(spark, "pages"), work_folder(spark, "verdicts")
+    given = spark.readStream.schema(spark.read.parquet(pages).schema).parquet(pages)
+    arrivals.stream_pages(given, store, work_folder(spark, "progress")).awaitTermination()
+    kept = spark.readStream.schema(spark.read.parquet(store).schema).parquet(store)
+    asked = spark.readStream.schema(answers.schema).parquet(responses)
+    events = arrivals.stream_arrivals(kept, asked, "1 hour", "7 days")
+    arrivals.stream_verify(events, store, out, REF_DATE, work_folder(spark, "progress")).awaitTermination()
+    return jobs.read_batches(spark, f"{out}/verdicts").select("path", "status", "error", fired_rules())
+
+
 @query
 def stream_summary(spark, sf_dir):
     """Counted over the stream of verdicts that the first stream wrote."""

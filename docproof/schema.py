@@ -57,6 +57,20 @@ EDIT = T.StructType(
 )
 
 
+PATH = T.StructType([T.StructField("path", T.StringType())])
+
+# What re-checks need of stored verdicts.
+EXTRACTED = T.StructType([*PATH.fields, T.StructField("extracted", RECORD)])
+
+
+def in_batches(schema: T.StructType) -> T.StructType:
+    """The schema of rows that are stored in one folder per micro-batch."""
+    return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+
+
+JUDGED = in_batches(PATH)
+
+
 def record_struct(prefix: str = "") -> Column:
     """The ten field columns packed into one struct."""
     return F.struct(*[F.col(prefix + f).alias(f) for f in FIELDS])

@@ -18,6 +18,8 @@ def local_session(cores: str = "*", app: str = "docproof") -> SparkSession:
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Plans have thousands of expressions; noting the source line of each takes as long as the query.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(parallelism))
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()

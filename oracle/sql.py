@@ -402,4 +402,11 @@ ORACLE = {
     + "SELECT path, status, error, rules FROM judged",
     "stream_summary": JUDGED + "SELECT status, count(*) AS n_documents FROM judged GROUP BY status",
     "stream_edits": _REVALIDATED + "SELECT path, seq AS version, status, error, rules FROM again",
+    "stream_verify": _with(BASE, CAPTURED, judged("captured")) + "SELECT path, status, error, rules FROM judged",
+    "assemble_text_in_parts": """
+SELECT path, part_no, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE text <> ''), '') AS raw_text FROM (
+  SELECT CAST(conv_id AS VARCHAR) AS path, turn, text,
+    CAST(coalesce(sum(coalesce(length(text), 0)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 200 AS BIGINT) AS part_no
+  FROM conversations
+) GROUP BY path, part_no""",
 }
