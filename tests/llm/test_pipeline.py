@@ -43,5 +43,5 @@ def test_run_keeps_no_two_near_copies(spark, sf_dir):
 
 
 def test_queries_are_one_per_operator():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
