@@ -11,7 +11,7 @@ from docproof.llm.html_text import extract_text
 from docproof.llm.kneser_ney import score_held_out
 from docproof.llm.minhash import near_duplicates
 from docproof.llm.packing import placed
-from docproof.llm.raking import AXES, BRIEF_TOKENS, TEMPER, TOPIC_MARKS, mixture
+from docproof.llm.raking import AXES, BRIEF_TOKENS, KEEP, TEMPER, TOPIC_MARKS, mixture
 from docproof.llm.sharding import shards
 from docproof.llm.token_counts import token_counts
 from docproof.llm.top_products import top_products
@@ -131,7 +131,7 @@ with recursive measured as (
 ), ratios as (
   select {names}, case when tokens > 0 then w / tokens else 0 end as ratio from raked where step = {3 * rounds}
 ), chances as (
-  select {names}, round(ratio / max(ratio) over (), 9) as probability from ratios
+  select {names}, least(1.0, round(ratio * {KEEP}, 9)) as probability from ratios
 )
 select d.doc_id, d.source, d.lang, d.topic, d.tokens, round(probability, 6) as probability,
   ('0x' || substr(md5(d.doc_id::varchar), 1, 8))::bigint / 4294967296.0 < probability as kept

@@ -54,6 +54,14 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], spread_by: str
     return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def few(df: DataFrame, limit: int) -> bool:
     """Whether a table has at most ``limit`` rows; looks at no more than one row beyond."""
     return df.limit(limit + 1).count() <= limit
