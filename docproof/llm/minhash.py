@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docproof.llm.components import components
-from docproof.llm.support import join_hot, ship_package, stored
+from docproof.llm.support import free_name, join_hot, ship_package, stored
 from docproof.llm.textscan import as_bytes, by_size, mix, shingle_sets
 
 # A pair at exactly 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 6e-5.
@@ -117,7 +117,7 @@ def _confirmer(words: int, percent: int):
 
 
 def _with_end(pairs: DataFrame, side: str, table: DataFrame, value: str) -> DataFrame:
-    """Add one end's value to pairs; an end with very many pairs is spread over tasks."""
+    """Add one end's value to pairs; the adaptive skew join splits an end with very many pairs."""
     ends = table.select(F.col("id").alias(side), F.col(value).alias(f"{value}_{side}"))
     return pairs.join(ends, side)
 
@@ -295,6 +295,18 @@ def near_duplicates(
 
 
 def keep_one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Documents, one of each group of near copies; columns as they are. Null ids stay."""
-    gone = near_duplicates(docs, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """Documents, exactly one row of each group of near copies; columns as they are.
+
+    Every row is a node of its own, whatever its doc_id: of a group stays the row with the smallest
+    doc_id, and of several such rows one. Null ids come last. Rows without words stay.
+    """
+    own, doc_id = free_name(docs, "_row"), F.col("doc_id")
+    rows = stored(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows.withColumn("doc_id", F.col(own)), words, percent).filter("n_shingles > 0")
+    groups = stored(groups.select(F.col("doc_id").alias(own), "component_id"), "groups")
+    members = groups.join(groups.filter(F.col(own) != F.col("component_id")).select("component_id").distinct(), "component_id", "left_semi")
+    order = F.struct(doc_id.isNull().alias("unknown"), doc_id.alias("doc_id"), F.col(own).alias("row"))
+    numbered = members.join(rows.select(own, "doc_id"), own)
+    best = numbered.groupBy("component_id").agg(F.min(order)["row"].alias("stays"))
+    gone = join_hot(numbered.select(own, "component_id"), best, ["component_id"], own).filter(F.col(own) != F.col("stays")).select(own)
+    return rows.join(gone, own, "left_anti").select(*docs.columns)

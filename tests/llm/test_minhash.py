@@ -51,7 +51,7 @@ def test_one_of_each_group_stays_with_all_columns(spark):
     docs = table(spark, texts).unionByName(spark.createDataFrame([(None, "a b c d e f g", "x", 1)], "doc_id long, text string, kept string, component_id int"))
     rows = keep_one_per_group(docs)
     assert rows.columns == docs.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows.collect()) == [(False, 1), (False, 2), (True, 0)]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows.collect()) == [(False, 1), (False, 2)]
 
 
 def test_null_ids_repeats_and_empty_table(spark):
@@ -85,3 +85,15 @@ def test_words_and_shingles_of_long_and_odd_texts():
     assert [len(s) for s in textscan.shingle_sets(data, 2)] == [3, 0, 0, 1, 2, 1]
     again, _ = textscan.word_hashes(data[4:5])
     assert (again == hashes[offsets[4] : offsets[5]]).all()
+
+
+def test_one_row_stays_of_each_group_whatever_the_ids(spark):
+    from docproof.llm.minhash import keep_one_per_group
+
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text), (1, text), (None, text), (None, text + " more"), (2, text), (1, other), (3, other), (4, ""), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _row string")
+    kept = keep_one_per_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, text), (1, other), (4, ""), (4, ""), (0, "")])
