@@ -2,23 +2,26 @@
 
 The text view sees words: hashed word frequencies, repetition, variety. The metadata view sees what
 describes the document from outside: source, language, length, line layout and the mix of character
-classes. Each view learns from labelled documents, and over rounds each gives the other its most
-confident guesses on unlabelled documents. Both are then calibrated on labelled documents held out
+classes. Each view learns from labelled documents. Over rounds both score every unlabelled document,
+and each gives the other its most confident guesses of each class and each group of sources, so that
+rare sources teach as well. Both are then calibrated on labelled documents held out
 of their training in turn, and a calibrated combination of their log odds scores all documents.
 """
 
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from docproof.llm.support import ship_package
+from docproof.llm.support import free_name, ship_package
 from docproof.llm.textscan import as_bytes, by_size, string_hashes, word_hashes
 
-# Labelled and unlabelled documents that the models are fitted on, taken by the order of a hash.
-LABELLED, UNLABELLED = 8_000, 8_000
+# Labelled documents that the models are fitted on, taken by the order of a hash.
+LABELLED = 8_000
 WORD_BUCKETS, NAME_BUCKETS = 512, 32
-ROUNDS, GUESSES, CONFIDENT = 3, 500, 0.98
+# A view gives this many guesses of a class and a group of sources (by hash) in a round, out of all unlabelled documents.
+ROUNDS, SOURCE_GROUPS, GUESSES, CONFIDENT = 3, 32, 8, 0.98
+BLOCK_ROWS = 1024
 FOLDS, MOST_ODDS = 3, 8.0
 RIDGE = 1e-3
 TEXT_STATISTICS, LAYOUT_STATISTICS = 5, 14
@@ -86,17 +89,23 @@ class Logistic:
 
     @classmethod
     def fit(cls, rows: np.ndarray, target: np.ndarray, steps: int = 8) -> "Logistic":
-        centre, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-3
-        x = np.hstack([(rows - centre) / scale, np.ones((len(rows), 1))]).astype(np.float64)
+        """Newton steps whose sums go over blocks of rows, so that no second copy of the rows is made."""
+        n, width = len(rows), rows.shape[1]
+        blocks = [slice(at, at + BLOCK_ROWS) for at in range(0, n, BLOCK_ROWS)]
+        centre = rows.mean(axis=0, dtype=np.float64)
+        scale = np.sqrt(sum(((rows[b] - centre) ** 2).sum(axis=0) for b in blocks) / n) + 1e-3
         share = target.mean()
         importance = np.where(target > 0.5, 0.5 / share, 0.5 / (1 - share))
-        weights = np.zeros(x.shape[1])
-        penalty = np.full(x.shape[1], RIDGE * len(rows))
+        weights = np.zeros(width + 1)
+        penalty = np.full(width + 1, RIDGE * n)
         penalty[-1] = 1e-9
         for _ in range(steps):
-            p = _probability(x @ weights)
-            slope = x.T @ (importance * (p - target)) + penalty * weights
-            curve = (x * (importance * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + np.diag(penalty)
+            slope, curve = penalty * weights, np.diag(penalty)
+            for b in blocks:
+                x = np.hstack([(rows[b] - centre) / scale, np.ones((len(rows[b]), 1))])
+                p = _probability(x @ weights)
+                slope += x.T @ (importance[b] * (p - target[b]))
+                curve += (x * (importance[b] * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x
             weights = weights - np.linalg.solve(curve, slope)
         return cls(centre, scale, weights)
 
@@ -149,43 +158,47 @@ class QualityModel:
         return _probability(a), _probability(b), _probability(_line(self.joint_line, _joint(a, b)))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], target: np.ndarray, unlabelled: tuple[np.ndarray, np.ndarray]) -> QualityModel:
-    """Train both views, exchange confident guesses, calibrate on labelled rows held out in turn."""
-    if len(target) < 10 or min(target.sum(), len(target) - target.sum()) < FOLDS:
-        return QualityModel(None, None, None, None, None, float(target.mean()) if len(target) else 1.0)
-    guessed_x, guessed_y = [v[:0] for v in views], [np.empty(0)] * 2
-    free, share = np.ones(len(unlabelled[0]), bool), float(target.mean())
+@dataclass
+class Examples:
+    """Labelled rows of both views, and the guesses that each view was given by the other."""
+
+    views: list[np.ndarray]
+    target: np.ndarray
+    guessed: list[np.ndarray]
+    guesses: list[np.ndarray]
+
+    def tell_nothing(self) -> bool:
+        return len(self.target) < 10 or min(self.target.sum(), len(self.target) - self.target.sum()) < FOLDS
 
-    def fitted(rows):
+    def learn(self, view: int, rows: np.ndarray, classes: np.ndarray) -> None:
+        self.guessed[view] = np.vstack([self.guessed[view], rows])
+        self.guesses[view] = np.concatenate([self.guesses[view], classes])
+
+    def fitted(self, chosen: np.ndarray | None = None) -> list[Logistic]:
+        """A model of each view from the chosen labelled rows and the guesses."""
+        own = slice(None) if chosen is None else chosen
         return [
-            Logistic.fit(np.vstack([v[rows], x]), np.concatenate([target[rows], y]))
-            for v, x, y in zip(views, guessed_x, guessed_y, strict=True)
+            Logistic.fit(np.vstack([v[own], x]), np.concatenate([self.target[own], y]))
+            for v, x, y in zip(self.views, self.guessed, self.guesses, strict=True)
         ]
 
-    everything = np.ones(len(target), bool)
-    for _ in range(ROUNDS):
-        models = fitted(everything)
-        for view, other in ((0, 1), (1, 0)):
-            left = np.flatnonzero(free)
-            p = _probability(models[view].odds(unlabelled[view][left]))
-            order = np.argsort(p, kind="stable")
-            good, bad = order[::-1][: round(GUESSES * share)], order[: round(GUESSES * (1 - share))]
-            good, bad = left[good[p[good] >= CONFIDENT]], left[bad[p[bad] <= 1 - CONFIDENT]]
-            free[good] = free[bad] = False
-            guessed_x[other] = np.vstack([guessed_x[other], unlabelled[other][good], unlabelled[other][bad]])
-            guessed_y[other] = np.concatenate([guessed_y[other], np.ones(len(good)), np.zeros(len(bad))])
-    models = fitted(everything)
+
+def calibrated(examples: Examples) -> QualityModel:
+    """Both views from all examples, calibrated on labelled rows that are held out in turn."""
+    target = examples.target
+    if examples.tell_nothing():
+        return QualityModel(None, None, None, None, None, float(target.mean()) if len(target) else 1.0)
     odds = np.zeros((2, len(target)))
     folds = np.empty(len(target), int)
     for value in (0, 1):
         own = np.flatnonzero((target > 0.5) == value)
         folds[own] = np.arange(len(own)) % FOLDS
     for fold in range(FOLDS):
-        for view, model in enumerate(fitted(folds != fold)):
-            odds[view, folds == fold] = model.odds(views[view][folds == fold])
+        for view, model in enumerate(examples.fitted(folds != fold)):
+            odds[view, folds == fold] = model.odds(examples.views[view][folds == fold])
     lines = [calibration(o, target) for o in odds]
     joint = calibration(_joint(*[_line(w, o) for w, o in zip(lines, odds, strict=True)]), target)
-    return QualityModel(*models, *lines, joint, share)
+    return QualityModel(*examples.fitted(), *lines, joint, float(target.mean()))
 
 
 def _features():
@@ -201,44 +214,99 @@ def _features():
     return run
 
 
+def _confident(models: list[Logistic]):
+    """(doc_id, source_group, view, good, odds) for each view that is confident of a document."""
+    import pyarrow as pa
+
+    least = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+
+    def run(batches):
+        for part in (part for batch in batches for part in by_size(batch, 1)):
+            texts = as_bytes(part.column(1))
+            others = [part.column(c).to_pylist() for c in (2, 3, 4)]
+            for view, rows in enumerate((text_view(texts), metadata_view(texts, *others))):
+                odds = models[view].odds(rows)
+                sure = np.flatnonzero(np.abs(odds) >= least)
+                chosen = part.take(pa.array(sure))
+                yield pa.RecordBatch.from_arrays(
+                    [chosen.column(0), chosen.column(5), pa.array(np.full(len(sure), view, np.int32)), pa.array(odds[sure] > 0), pa.array(odds[sure])],
+                    names=["doc_id", "source_group", "view", "good", "odds"],
+                )
+
+    return run
+
+
 def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"),
+        F.pmod(F.xxhash64(F.col("source").cast("string")), F.lit(SOURCE_GROUPS)).cast("int").alias("source_group"),
     )
 
 
+def _views_of(docs: DataFrame, ids: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """doc_ids in order and the features of a bounded number of documents; of repeated ids one row."""
+    # At most LABELLED numbers, or as many as guesses of one round.
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))
+    rows = _columns(docs).join(picked, "doc_id").mapInArrow(_features(), "doc_id long, a binary, b binary").toArrow()
+    found, first = np.unique(rows.column("doc_id").to_numpy(), return_index=True)
+    widths = WORD_BUCKETS + TEXT_STATISTICS, 2 * NAME_BUCKETS + LAYOUT_STATISTICS
+    views = [
+        np.frombuffer(b"".join(rows.column(c).take(first).to_pylist()), np.float32).reshape(-1, width)
+        for c, width in zip(("a", "b"), widths, strict=True)
+    ]
+    return found, views
+
+
+def _exchange(docs: DataFrame, marks: DataFrame, models: list[Logistic], taken: list[int]) -> dict[int, tuple[int, bool]]:
+    """doc_id to (view that guesses, class) of the most confident guesses of this round."""
+    spark = docs.sparkSession
+    sure = _columns(docs).mapInArrow(_confident(models), "doc_id long, source_group int, view int, good boolean, odds double")
+    used = F.broadcast(spark.createDataFrame([(i,) for i in taken], "doc_id long"))
+    free = sure.filter("doc_id is not null").join(used, "doc_id", "left_anti").join(marks.select("doc_id"), "doc_id", "left_anti")
+    # Equal odds are copies of one text: one of them is enough.
+    free = free.groupBy("view", "source_group", "good", "odds").agg(F.min("doc_id").alias("doc_id"))
+    order = Window.partitionBy("view", "source_group", "good").orderBy(F.desc(F.abs("odds")), F.xxhash64("doc_id"), "doc_id")
+    best = free.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= GUESSES)
+    # At most 2 * 2 * SOURCE_GROUPS * GUESSES rows; a document that both views pick goes by the text.
+    return {r["doc_id"]: (r["view"], r["good"]) for r in sorted(best.collect(), key=lambda r: (-r["view"], r["doc_id"]))}
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """A model from the documents' labels (doc_id, quality 0 or 1).
 
-    At most ``LABELLED`` labelled and ``UNLABELLED`` other documents are used, the first by a hash
-    of doc_id. Labels without document and null labels are ignored; of several labels for a
-    document the lowest counts. With fewer than ten labelled documents, or fewer than ``FOLDS`` of a
-    class, every document gets the share of good labels, or 1 if there are none.
+    At most ``LABELLED`` labelled documents are used, the first by a hash of doc_id. Guesses come from
+    all documents without a label. Labels without document and null labels are ignored; of several
+    labels for a document the lowest counts. With fewer than ten labelled documents, or fewer than
+    ``FOLDS`` of a class, every document gets the share of good labels, or 1 if there are none.
     """
     ship_package(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     marks = labels.filter("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     marks = marks.groupBy("doc_id").agg((F.min("quality") > 0).cast("double").alias("good"))
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.join(marks, "doc_id").orderBy(*by_hash).limit(LABELLED).collect()
+    chosen = known.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).collect()
     target = {r.doc_id: r.good for r in chosen}
-    others = known.join(marks, "doc_id", "left_anti").orderBy(*by_hash).limit(UNLABELLED).collect()
-    wanted = [*target, *[r.doc_id for r in others]]
-    # At most LABELLED + UNLABELLED numbers.
-    picked = docs.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id long")
-    rows = _columns(docs).join(F.broadcast(picked), "doc_id").mapInArrow(_features(), "doc_id long, a binary, b binary")
-    found = rows.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    views = [
-        np.stack([np.frombuffer(b, np.float32) for b in found[c]]) if len(found) else np.zeros((0, 1), np.float32) for c in ("a", "b")
-    ]
-    is_labelled = found["doc_id"].isin(target).to_numpy(bool)
-    good = np.array([target[i] for i in found["doc_id"][is_labelled]])
-    return co_train(tuple(v[is_labelled] for v in views), good, tuple(v[~is_labelled] for v in views))
-
-
-def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """Documents with ``_quality``: struct(text, metadata, both) of calibrated probabilities."""
+    found, views = _views_of(docs, list(target))
+    nobody = [v[:0] for v in views]
+    examples = Examples(views, np.array([target[i] for i in found.tolist()]), nobody, [np.empty(0)] * 2)
+    if examples.tell_nothing():
+        return calibrated(examples)
+    taken: list[int] = []
+    for _ in range(ROUNDS):
+        guesses = _exchange(docs, marks, examples.fitted(), taken)
+        if not guesses:
+            break
+        taken += guesses
+        found, views = _views_of(docs, list(guesses))
+        for view in (0, 1):
+            own = np.array([guesses[i][0] == view for i in found.tolist()], bool)
+            classes = np.array([float(guesses[i][1]) for i in found[own].tolist()])
+            examples.learn(1 - view, views[1 - view][own], classes)
+    return calibrated(examples)
+
+
+def score_quality(docs: DataFrame, model: QualityModel, column: str) -> DataFrame:
+    """Documents with one more column: struct(text, metadata, both) of calibrated probabilities."""
     import pyarrow as pa
 
     ship_package(docs.sparkSession)
@@ -253,7 +321,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in np.concatenate(found, axis=1)], names=names)
 
     columns = [F.col("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")]
-    return docs.withColumn("_quality", quality(*columns))
+    return docs.withColumn(column, quality(*columns))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -264,14 +332,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     Repeated rows and null ids come back as they are, an empty table gives an empty result, other
     columns are ignored.
     """
-    scored = score_quality(docs, fit_quality(docs, labels))
+    own = free_name(docs, "_quality")
+    scored = score_quality(docs, fit_quality(docs, labels), own)
     return scored.select(
-        "doc_id", F.col("_quality.text").alias("text_score"), F.col("_quality.metadata").alias("metadata_score"),
-        F.col("_quality.both").alias("quality"), (F.col("_quality.both") >= threshold).alias("kept"),
+        "doc_id", F.col(own)["text"].alias("text_score"), F.col(own)["metadata"].alias("metadata_score"),
+        F.col(own)["both"].alias("quality"), (F.col(own)["both"] >= threshold).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents of good quality, with their own columns."""
-    scored = score_quality(docs, fit_quality(docs, labels))
-    return scored.filter(F.col("_quality.both") >= threshold).select(*docs.columns)
+    own = free_name(docs, "_quality")
+    scored = score_quality(docs, fit_quality(docs, labels), own)
+    return scored.filter(F.col(own)["both"] >= threshold).select(*docs.columns)
