@@ -78,6 +78,24 @@ def run_summary(results: DataFrame, run_id: str) -> DataFrame:
     )
 
 
+def run_counts(results: DataFrame) -> DataFrame:
+    """(loaded, flagged, errors) of one run's verdicts: the partial sums that ``summary_of_runs`` adds up."""
+    return results.agg(
+        F.count(F.lit(1)).alias("loaded"),
+        F.count_if(F.col("status") == "flagged").alias("flagged"),
+        F.count_if(F.col("status") == "error").alias("errors"),
+    )
+
+
+def summary_of_runs(counts: DataFrame, run_id: str) -> DataFrame:
+    """The row of ``run_summary`` from the stored counts of all runs, without reading any verdict."""
+    own = F.when(F.col("run_id") == run_id, F.col("loaded")).otherwise(0)
+    return counts.agg(
+        F.coalesce(F.sum(own), F.lit(0)).alias("processed"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("loaded", "flagged", "errors")],
+    )
+
+
 def review_list(results: DataFrame) -> DataFrame:
     """(run_id, path, glyph, name) in order of arrival: by run, then as the files are listed."""
     glyph = F.col("status")

@@ -357,6 +357,21 @@ def run_summary(spark, sf_dir):
     return review.run_summary(_in_two_runs(verdicts_of(Documents(spark, sf_dir))), "second")
 
 
+@query
+def summary_of_runs(spark, sf_dir):
+    """The same numbers from counts that each run has kept; the second run was written twice."""
+    folder, v = work_folder(spark, "counts"), _in_two_runs(Documents(spark, sf_dir).first_verdicts())
+    for run_id in ("first", "second", "second"):
+        W.write_counts(review.run_counts(v.filter(F.col("run_id") == run_id)), folder, run_id)
+    return review.summary_of_runs(W.read_results(spark, folder), "second")
+
+
+@query
+def unanswered_files(spark, sf_dir):
+    d = Documents(spark, sf_dir)
+    return S.unanswered(d.files.unionByName(d.files), d.responses)
+
+
 @query
 def review_list(spark, sf_dir):
     return review.review_list(_in_two_runs(verdicts_of(Documents(spark, sf_dir))))

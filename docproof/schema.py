@@ -68,9 +68,6 @@ def in_batches(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
 
 
-JUDGED = in_batches(PATH)
-
-
 def record_struct(prefix: str = "") -> Column:
     """The ten field columns packed into one struct."""
     return F.struct(*[F.col(prefix + f).alias(f) for f in FIELDS])

@@ -3,10 +3,13 @@
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from docproof.schema import FIELDS
 
 PDF_GLOB = "*.{pdf,PDF}"
+# Fixed value: the columns of Spark's binary file source.
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def file_name(path: Column) -> Column:
@@ -24,6 +27,26 @@ def scan_files(spark: SparkSession, folder: str, glob: str = PDF_GLOB) -> DataFr
     )
 
 
+def stream_files(spark: SparkSession, folder: str, listing: str, checkpoint: str, glob: str = PDF_GLOB) -> StreamingQuery:
+    """Append the files that no earlier call has listed to the table ``listing`` (path, name), and end.
+
+    The checkpoint remembers which files were seen, so a call costs one listing of the folder and no
+    content is read.
+    """
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob).load(folder)
+    directly = F.regexp_replace("path", "/[^/]*$", "").endswith(folder.rstrip("/").split("://")[-1])
+    named = files.select("path").filter(directly).withColumn("name", file_name(F.col("path")))
+    return (
+        named.writeStream.format("parquet").option("path", listing)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def unanswered(files: DataFrame, responses: DataFrame) -> DataFrame:
+    """The listed files that have no response yet: what is left to ask the extraction service for."""
+    return files.dropDuplicates(["path"]).join(responses.select("path"), "path", "left_anti")
+
+
 def read_files(spark: SparkSession, folder: str, glob: str = PDF_GLOB) -> DataFrame:
     """(path, content) of the files directly in a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)

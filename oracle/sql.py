@@ -409,4 +409,6 @@ SELECT path, part_no, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (W
     CAST(coalesce(sum(coalesce(length(text), 0)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 200 AS BIGINT) AS part_no
   FROM conversations
 ) GROUP BY path, part_no""",
+    "unanswered_files": _with(CLEAN) + "SELECT path FROM clean WHERE k % 50 = 46",
 }
+ORACLE["summary_of_runs"] = ORACLE["run_summary"]
