@@ -10,14 +10,14 @@ import json
 import re
 import unicodedata
 from array import array
-from functools import cache
+from functools import cache, cached_property
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from docproof.llm.support import ship_package
+from docproof.llm.support import release, ship_package
 from docproof.llm.textscan import as_bytes, by_size
 
 # How byte-level BPE splits a text before merging.
@@ -113,13 +113,18 @@ class Splitter:
     """Cuts texts into special tokens and pre-tokens, as the vocabulary's library does."""
 
     def __init__(self, vocabulary: Vocabulary):
-        from tokenizers import Tokenizer
-
         self.find = _plain_pattern().findall
         self.special = vocabulary.special
         longest_first = sorted(self.special, key=len, reverse=True)
         self.specials = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
-        self.library = Tokenizer.from_file(vocabulary.path).pre_tokenizer
+        self.path = vocabulary.path
+
+    @cached_property
+    def library(self):
+        """The library's own splitter; loaded only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path).pre_tokenizer
 
     def segments(self, text: str) -> list[tuple[int | None, str]]:
         """(id of a special token or None, its text or the text between) in order."""
@@ -163,6 +168,10 @@ class Encoder:
         self.vocabulary, self.splitter = vocabulary, Splitter(vocabulary)
         self.known = Recent(PRE_TOKENS)
 
+    def forget(self) -> None:
+        """Give back the memory of what was remembered; a worker process outlives its task."""
+        self.known = Recent(PRE_TOKENS)
+
     def encode_token(self, token: str) -> bytes:
         if (packed := self.known.older.get(token)) is None:
             own = self.vocabulary
@@ -220,6 +229,8 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
             packed = [tool.encode(t.decode("utf-8", "replace")) for t in as_bytes(part.column(1))]
             counts = pa.array([len(p) // 4 for p in packed], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        tool.forget()
+        release()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
@@ -242,6 +253,29 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, text string")
 
 
+def encode_and_decode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What ``decode`` gives of what ``encode`` gives, in one pass by one Python worker per task."""
+    import pyarrow as pa
+
+    ship_package(docs.sparkSession)
+
+    def run(batches):
+        tool, strings = encoder(vocabulary), token_strings(vocabulary)
+        for part in (part for batch in batches for part in by_size(batch, 1)):
+            packed = [tool.encode(given.decode("utf-8", "replace")) for given in as_bytes(part.column(1))]
+            counts = pa.array([len(p) // 4 for p in packed], pa.int64())
+            texts = pa.array([decode_ids(p, strings) for p in packed], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), counts, pa.array(packed, pa.binary()), texts], names=["doc_id", "n_tokens", "ids", "text"]
+            )
+        tool.forget()
+        release()
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, text string")
+
+
 def digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the encoded and decoded texts, in one pass over them."""
     import pyarrow as pa
@@ -259,6 +293,8 @@ def digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
                 of_texts.append(sha256(decode_ids(packed, strings).encode()).hexdigest())
             columns = [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tool.forget()
+        release()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from docproof.llm.support import free_name, ship_package
+from docproof.llm.support import free_name, release, ship_package
 from docproof.llm.textscan import as_bytes, by_size, string_hashes, word_hashes
 
 # Labelled documents that the models are fitted on, taken by the order of a hash.
@@ -210,6 +210,7 @@ def _features():
             others = [part.column(c).to_pylist() for c in (2, 3, 4)]
             blobs = [[r.tobytes() for r in v] for v in (text_view(texts), metadata_view(texts, *others))]
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(b, pa.binary()) for b in blobs]], names=["doc_id", "a", "b"])
+        release()
 
     return run
 
@@ -232,6 +233,7 @@ def _confident(models: list[Logistic]):
                     [chosen.column(0), chosen.column(5), pa.array(np.full(len(sure), view, np.int32)), pa.array(odds[sure] > 0), pa.array(odds[sure])],
                     names=["doc_id", "source_group", "view", "good", "odds"],
                 )
+        release()
 
     return run
 

@@ -90,3 +90,12 @@ def test_empty_table(spark):
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_one_pass_gives_what_two_give(spark):
+    rows = [(i, t) for i, t in enumerate([*random_texts(40), None, "", "<|endoftext|> x"])] + [(None, "a"), (1, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    two = bpe.decode(bpe.encode(docs, PATH), PATH)
+    one = bpe.encode_and_decode(docs, PATH)
+    assert one.schema == two.schema
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
