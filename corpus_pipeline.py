@@ -7,7 +7,7 @@ documents, the last (doc_id, n_tokens, ids, text) of the encoded and decoded tex
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docproof.llm.bpe import decode, encode
+from docproof.llm.bpe import encode_and_decode
 from docproof.llm.cotraining import keep_good
 from docproof.llm.minhash import keep_one_per_group
 from docproof.llm.queries import table, vocabulary
@@ -32,7 +32,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that they decode to."""
-    return decode(encode(docs, vocabulary()), vocabulary())
+    return encode_and_decode(docs, vocabulary())
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
