@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docproof.llm.hash_table import shard_bits, shard_of
 from docproof.llm.support import map_array, new_folder, ship_package, stored, write_array
-from docproof.llm.textscan import as_bytes, mix, word_hashes
+from docproof.llm.textscan import as_bytes, by_size, mix, word_hashes
 
 # The end of a text, which is also what stands before its first word.
 END = mix(np.array([0xE0D], np.uint64))[0]
@@ -69,7 +69,7 @@ def _unpack(blob: bytes) -> np.ndarray:
 def _counted(batches, keys_of):
     """Distinct keys and counts of a task's texts, handed on whenever enough have gathered."""
     parts, size = [], 0
-    for batch in batches:
+    for batch in (part for batch in batches for part in by_size(batch, 0, 1 << 23)):
         for _, texts in _groups(as_bytes(batch.column(0))):
             keys, counts = np.unique(keys_of(texts), return_counts=True)
             parts.append((keys, counts))
@@ -393,7 +393,7 @@ def score_texts(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in by_size(batch, 1, 1 << 23)):
             for begin, texts in _groups(as_bytes(batch.column(1))):
                 n, known, base, score = model.score(texts)
                 ids = batch.column(0).slice(begin, len(texts))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from docproof.llm.bpe import encoder, merge
 from docproof.llm.hash_table import Table, write_table
 from docproof.llm.support import ship_package, stored
-from docproof.llm.textscan import as_bytes, string_hashes
+from docproof.llm.textscan import as_bytes, by_size, string_hashes
 
 # Distinct pre-tokens that a task gathers before it hands them on.
 GATHERED = 1 << 18
@@ -34,7 +34,7 @@ def _distinct(vocabulary: str):
             found.clear()
             return out
 
-        for batch in batches:
+        for batch in (part for batch in batches for part in by_size(batch, 0)):
             for text in as_bytes(batch.column(0)):
                 for special, segment in splitter.segments(text.decode("utf-8", "replace")):
                     if special is None:
@@ -69,7 +69,10 @@ def _sum_counts(vocabulary: str, table: Table):
         parts = [splitter.pre_tokens(c) for c in chunks]
         keys = string_hashes([p.encode() for own in parts for p in own])
         distinct, place = np.unique(keys, return_inverse=True)
-        values = np.concatenate(([0], np.cumsum(table.get(distinct)[place])))
+        found = table.get(distinct)
+        if not found.all():
+            raise ValueError(f"{np.count_nonzero(found == 0)} pre-tokens were never counted")
+        values = np.concatenate(([0], np.cumsum(found[place])))
         ends = np.cumsum([0, *[len(own) for own in parts]])
         return dict(zip(chunks, (values[ends[1:]] - values[ends[:-1]]).tolist(), strict=True))
 
@@ -89,13 +92,9 @@ def _sum_counts(vocabulary: str, table: Table):
 
     def run(batches):
         splitter = encoder(vocabulary).splitter
-        for batch in batches:
-            texts, counts, begin, size = as_bytes(batch.column(1)), [], 0, 0
-            for i, text in enumerate(texts):
-                size += len(text)
-                if size > 1 << 23 or i == len(texts) - 1:
-                    counts.extend(counted(splitter, texts[begin : i + 1]))
-                    begin, size = i + 1, 0
+        for batch in (part for batch in batches for part in by_size(batch, 1, 1 << 23)):
+            texts = as_bytes(batch.column(1))
+            counts = counted(splitter, texts)
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), sizes, pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"]

@@ -3,8 +3,8 @@
 Vectors are dealt into blocks by descending length, and each block is met by each block of queries.
 A rotation fitted by SVD on a bounded sample puts most of a product into its first coordinates, so
 the first ``HEAD`` rotated coordinates and the lengths of the rests bound every score from above.
-A vector is multiplied out only if its bound reaches the k-th best score found so far: that of the
-longest vectors at the start, then of the blocks the task has seen. Scores are whole numbers.
+A vector is multiplied out only if its bound reaches the query's k-th best score among the longest
+vectors. Scores are whole numbers.
 """
 
 import numpy as np
