@@ -1,4 +1,9 @@
-"""Review tables from verdicts. All but the summary and the list are row-local."""
+"""Review tables from verdicts. All but the summary and the list are row-local.
+
+Rows come from arrays made one projection earlier, and by outer generators: what stands inside a
+generator is not compiled, and one that is not outer has its input made twice, to filter empty ones.
+No array here is empty.
+"""
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,7 +36,8 @@ def issue_rows(results: DataFrame) -> DataFrame:
         .when(F.size("issues") == 0, placeholder("", "", F.lit(NO_ISSUES)))
         .otherwise(F.expr("transform(issues, i -> struct(i.rule_no, i.severity, i.field, i.message))"))
     )
-    return results.select("path", F.posexplode(shown).alias("pos", "i")).select("path", "pos", "i.*")
+    shown = results.select("path", shown.alias("shown"))
+    return shown.select("path", F.posexplode_outer("shown").alias("pos", "i")).select("path", "pos", "i.*")
 
 
 def _worst(field: str):
@@ -45,7 +51,8 @@ def _worst(field: str):
 def field_severity(results: DataFrame) -> DataFrame:
     """(path, field, severity) for each field with issues; issues of the whole document have no row."""
     rated = F.array(*[F.struct(F.lit(f).alias("field"), _worst(f).alias("severity")) for f in FIELDS])
-    return results.select("path", F.inline(rated)).filter(F.col("severity").isNotNull())
+    rated = results.select("path", rated.alias("rated"))
+    return rated.select("path", F.inline_outer("rated")).filter(F.col("severity").isNotNull())
 
 
 def field_review(results: DataFrame) -> DataFrame:
@@ -65,7 +72,8 @@ def field_review(results: DataFrame) -> DataFrame:
             for no, f in enumerate(FIELDS, 1)
         ]
     )
-    return results.select("path", F.inline(F.when(F.col("data").isNull(), failed).otherwise(fields)))
+    rows = results.select("path", F.when(F.col("data").isNull(), failed).otherwise(fields).alias("rows"))
+    return rows.select("path", F.inline_outer("rows"))
 
 
 def run_summary(results: DataFrame, run_id: str) -> DataFrame:
@@ -101,7 +109,6 @@ def review_list(results: DataFrame) -> DataFrame:
     glyph = F.col("status")
     for state, sign in GLYPHS.items():
         glyph = F.when(F.col("status") == state, sign).otherwise(glyph)
-    name = file_name(F.col("path"))
-    return results.select("run_id", "path", glyph.alias("glyph"), name.alias("name")).orderBy(
-        "run_id", F.lower("name"), "path"
-    )
+    # Dealt out before the sort, which first samples its input to find ranges: else every verdict is made twice.
+    dealt = results.select("run_id", "path", glyph.alias("glyph")).repartition("path")
+    return dealt.withColumn("name", file_name(F.col("path"))).orderBy("run_id", F.lower("name"), "path")
