@@ -5,9 +5,13 @@ from pyspark.sql import DataFrame, functions as F
 from docproof.llm.support import discard, join_hot, stored
 
 
-def _state(edges: DataFrame) -> tuple:
-    digest = F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count(F.lit(1)), digest).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every larger node has one link, and that to a node which is nowhere the larger one."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("links"), F.lit(0).alias("centre")).unionAll(
+        edges.select(F.col("lo").alias("node"), F.lit(0).alias("links"), F.lit(1).alias("centre"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("links").alias("links"), F.max("centre").alias("centre"))
+    return nodes.agg(F.coalesce(F.max(F.col("links") + F.col("centre")), F.lit(0))).first()[0] <= 1
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,8 +36,8 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
 
     Links are read as undirected; nulls and links of a node to itself are ignored, repeated links
     count once. Nodes without links are not returned. Each round is written to the shared folder
-    and the round before removed; the number of rounds grows with the logarithm of the longest
-    chain. Nodes with very many links are spread over tasks.
+    and the round before removed, until all links are stars around smallest nodes; the number of
+    rounds grows with the logarithm of the longest chain. Nodes with very many links are spread over tasks.
     """
     edges = stored(
         links.filter(F.col(left) != F.col(right))
@@ -41,16 +45,9 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         .distinct(),
         "links",
     )
-    state = _state(edges)
-    while state[0]:
-        larger = stored(_large_star(edges).distinct(), "large")
-        after = stored(_small_star(larger), "small")
-        discard(larger)
-        new = _state(after)
+    while not _settled(edges):
+        after = stored(_small_star(_large_star(edges).distinct()), "stars")
         discard(edges)
         edges = after
-        if new == state:
-            break
-        state = new
     roots = edges.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionAll(roots)

@@ -131,63 +131,65 @@ def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 class _Block:
     """Rows of one bucket block: those of the bucket's largest component so far, and all others."""
 
-    def __init__(self, rows: list[dict], words: int, percent: int):
-        self.rows = list({(r["id"], r["rare"]): r for r in rows}.values())
-        self.words, self.percent, self.sets, self.parent = words, percent, {}, {}
-        self.bits = np.array([r["bits"] for r in self.rows], np.int64).view(np.uint64)
-
-    def root(self, component: int) -> int:
-        while (above := self.parent.get(component, component)) != component:
-            component = above
-        return component
+    def __init__(self, rows, words: int, percent: int):
+        once = {row: at for at, row in enumerate(zip(rows["id"].to_pylist(), rows["rare"].to_pylist(), strict=True))}
+        rows = rows.take([*once.values()]).combine_chunks()
+        self.key = rows["key"][0].as_py()
+        self.ids, self.components = (rows[c].to_numpy().copy() for c in ("id", "component"))
+        self.rare = np.array([rare for _, rare in once], bool)
+        self.bands, self.bits = (rows[c].combine_chunks().flatten().to_numpy().reshape(len(once), -1) for c in ("bands", "bits"))
+        self.bits = self.bits.view(np.uint64)
+        self.texts, self.words, self.percent, self.sets = rows["text"].combine_chunks(), words, percent, {}
+
+    def set_of(self, i: int) -> np.ndarray:
+        if self.ids[i] not in self.sets:
+            self.sets[self.ids[i]] = shingle_sets([self.texts[int(i)].as_py() or b""], self.words)[0]
+        return self.sets[self.ids[i]]
 
     def similar(self, i: int, j: int) -> bool:
-        for at in (i, j):
-            if self.rows[at]["id"] not in self.sets:
-                self.sets[self.rows[at]["id"]] = shingle_sets([self.rows[at]["text"] or b""], self.words)[0]
-        x, y = (self.sets[self.rows[at]["id"]] for at in (i, j))
+        x, y = self.set_of(i), self.set_of(j)
+        if 100 * min(len(x), len(y)) < self.percent * max(len(x), len(y)):
+            return False
         common = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * common >= self.percent * (len(x) + len(y) - common)
 
     def links(self, lowest: float):
         """Confirmed links that connect components; pairs that share an earlier bucket are left to it."""
-        field, key = np.uint64(0x5555555555555555), self.rows[0]["key"]
-        others = np.flatnonzero([not r["rare"] for r in self.rows])
-        for i in np.flatnonzero([r["rare"] for r in self.rows]):
-            x = self.bits[others] ^ self.bits[i]
+        field = np.uint64(0x5555555555555555)
+        others = np.flatnonzero(~self.rare)
+        for i in np.flatnonzero(self.rare):
+            apart = others[self.components[others] != self.components[i]]
+            x = self.bits[apart] ^ self.bits[i]
             differ = np.bitwise_count((x | (x >> np.uint64(1))) & field).sum(axis=1, dtype=np.int64)
             alike = (1 - differ / (BANDS * ROWS) - 2.0**-BITS) / (1 - 2.0**-BITS)
-            found = others[alike >= lowest]
-            one, own = self.rows[i], self.root(self.rows[i]["component"])
-            for j in found[np.argsort(-alike[alike >= lowest], kind="stable")]:
-                two = self.rows[j]
-                if self.root(two["component"]) == own:
-                    continue
-                if next(a for a, b in zip(one["bands"], two["bands"], strict=True) if a == b) != key:
-                    continue
-                if self.similar(i, j):
-                    self.parent[own] = self.root(two["component"])
-                    own = self.root(own)
-                    yield one["id"], two["id"]
+            found = apart[alike >= lowest][np.argsort(-alike[alike >= lowest], kind="stable")]
+            first = (self.bands[found] == self.bands[i]).argmax(axis=1)
+            for j in found[self.bands[i][first] == self.key]:
+                if self.components[j] != self.components[i] and self.similar(i, j):
+                    self.components[self.components == self.components[i]] = self.components[j]
+                    yield int(self.ids[i]), int(self.ids[j])
 
 
 def _linker(words: int, percent: int, lowest: float):
     """Links of all blocks of a partition whose rows come block by block."""
     import pyarrow as pa
 
-    def batch_of(rows):
-        pairs = list(_Block(rows, words, percent).links(lowest))
+    def batch_of(parts):
+        pairs = list(_Block(pa.Table.from_batches(parts), words, percent).links(lowest))
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
         waiting, block = [], None
         for part in (part for batch in batches for part in by_size(batch, 8)):
-            for row in part.to_pylist():
-                if (row["key"], row["block"], row["chunk"]) != block:
-                    if waiting:
+            places = np.stack([part[c].to_numpy() for c in ("key", "block", "chunk")], axis=1)
+            starts = np.flatnonzero(np.any(places[1:] != places[:-1], axis=1)) + 1
+            for at, end in zip([0, *starts], [*starts, len(places)], strict=True):
+                if end > at:
+                    if waiting and tuple(places[at]) != block:
                         yield batch_of(waiting)
-                    waiting, block = [], (row["key"], row["block"], row["chunk"])
-                waiting.append(row)
+                        waiting = []
+                    block = tuple(places[at])
+                    waiting.append(part.slice(at, end - at))
         if waiting:
             yield batch_of(waiting)
 
@@ -236,6 +238,16 @@ def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _joined_up(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """(id, component) after further links: only the components that these connect are searched anew."""
+    one = _with_component(more.select(F.col("a").alias("id"), "b"), comps).select(F.col("component").alias("a"), "b")
+    two = _with_component(one.select(F.col("b").alias("id"), "a"), comps).select("a", F.col("component").alias("b"))
+    merged = stored(components(two, "a", "b"), "merged")
+    grown = comps.join(merged.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left")
+    alone = merged.join(comps.select("id"), "id", "left_anti")
+    return grown.select("id", F.coalesce("whole", "component").alias("component")).unionByName(alone)
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -271,14 +283,14 @@ def near_duplicates(
     found = rows.join(needed, "id").groupBy("id")
     payload = stored(found.agg(F.max("text").alias("text"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "payload")
     pairs = shared.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    alike = _with_end(_with_end(stored(pairs, "pairs"), "a", payload, "bits"), "b", payload, "bits").filter(
+    alike = _with_end(_with_end(pairs, "a", payload, "bits"), "b", payload, "bits").filter(
         estimate("bits_a", "bits_b") >= percent / 100 - MARGIN
     )
     links = stored(_linked(alike.select("a", "b"), payload, words, percent), "links")
     comps = components(links, "a", "b")
     more = stored(_cross_links(shared.select("key", "id"), payload, comps, words, percent), "links")
     if not more.isEmpty():
-        comps = components(links.unionByName(more), "a", "b")
+        comps = _joined_up(comps, more)
     groups = _with_component(nodes.select("id", "set_a", "set_b"), comps).select("set_a", "set_b", "component")
     placed = join_hot(
         marks.filter("n_shingles > 0").select("doc_id", "n_shingles", "set_a", "set_b"), groups, ["set_a", "set_b"], "doc_id", "left"

@@ -22,3 +22,15 @@ def test_chains_stars_and_random_links(spark):
 
 def test_no_links(spark):
     assert found(spark, []) == {}
+
+
+def test_links_that_are_stars_already_need_no_round(spark, monkeypatch):
+    from docproof.llm import components as module
+
+    written = []
+    monkeypatch.setattr(module, "stored", lambda df, purpose: written.append(purpose) or df.localCheckpoint())
+    monkeypatch.setattr(module, "discard", lambda df: None)
+    links = [(i, 1) for i in range(2, 30)] + [(51, 50)]
+    assert found(spark, links) == {**{i: 1 for i in range(1, 30)}, 50: 50, 51: 50}
+    assert written == ["links"]
+    assert found(spark, [(3, 2), (2, 1), (3, 1)]) == {1: 1, 2: 1, 3: 1}
