@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import os
 import re
 
 import pytest
@@ -388,6 +389,33 @@ def test_every_table_is_scanned_once_for_its_content(spark):
     assert again._jdf.queryExecution().executedPlan().toString().count("Exchange ") < 15
 
 
+def test_first_look_skips_ordinary_pages(spark):
+    """Pages 0 to 999 need no list of ranges; file statistics leave them out of the first look."""
+    f, p, r = tables(spark)
+    folder = work_folder(spark, "pages")
+    p.write.parquet(folder)
+    plan = verify_documents(f, spark.read.parquet(folder), r, REF)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(page_no,1000)" in plan
+
+
+def test_derived_tables_are_written_when_they_are_read(spark, tmp_path):
+    from docproof.plans.catalog import QUERIES
+    from docproof.plans.fixture import Documents
+
+    nations = [(i, f"NATION {i}", i % 5) for i in range(5)]
+    spark.createDataFrame(nations, "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    suppliers = [(i, f"Vendor {i}", i % 5) for i in range(4)]
+    spark.createDataFrame(suppliers, "s_suppkey bigint, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    orders = spark.range(100).selectExpr("id as o_orderkey", "id % 7 as o_custkey", "id + 0.5D as o_totalprice",
+                                         "date_add(date '2026-01-01', int(id)) as o_orderdate")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    assert QUERIES["status"](spark, str(tmp_path)).count() == 100
+    d = Documents(spark, str(tmp_path))
+    written = {name for name in os.listdir(d.folder.removeprefix("file:"))}
+    assert written == {"clean", "pages", "responses"}
+    assert d.faulty.count() == 100 and d.edits.count() == 45
+
+
 def test_bucketed_tables_are_not_shuffled(spark):
     f, p, r = tables(spark, 10)
     stored = {"docproof_files": f, "docproof_pages": p, "docproof_responses": r}

@@ -101,6 +101,14 @@ def test_grounding_random(spark):
     assert [(r, g, w) for r, g, w in zip(rows, got, want) if g != w] == []
 
 
+def test_other_blanks_are_found_without_a_pattern(spark):
+    long = "DE89" * 100
+    rows = [(long, "to " + " ".join(long[i : i + 4] for i in range(0, 400, 4)), True), (" D E", "xDEx", True),
+            (" ", "a", True), ("a b", "a\tB", True), ("ab", "a c b", False), (None, "a", False), ("a", None, False)]
+    got = answers(spark, [r[:2] for r in rows], "v string, t string", P.quick_grounding(C("v"), C("t")))
+    assert got == [r[2] for r in rows]
+
+
 def amount_in(amount, text):
     """Plain restatement: integer digits with gaps, one mark, cents together, no digit around."""
     digits = str(int(amount.scaleb(2)))
