@@ -129,3 +129,44 @@ def map_array(folder: str, name: str):
     mapped = np.load(copy.name, mmap_mode="r")
     os.unlink(copy.name)  # the mapping keeps the bytes; nothing stays when the worker ends
     return mapped
+
+
+# ---------------------------------------------------------------- blocks that every task reads, one at a time
+
+
+def keep_blocks(blocks: DataFrame, columns: list[str], purpose: str) -> tuple[str, dict[int, list]]:
+    """Write the binary columns of each row (block, dims, columns) of a stored table to files that tasks map.
+
+    Returns the folder and the names of the blocks by ``dims``. Meeting all rows of another table so
+    copies no block: neither a shuffle nor a broadcast grows with the number of pairs of blocks.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    folder = new_folder(blocks.sparkSession, purpose)
+
+    def write(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                block = batch.column("block")[at].as_py()
+                for name in columns:
+                    write_array(folder, f"{block}-{name}", np.frombuffer(batch.column(name)[at].as_py(), np.uint8))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("dims")], names=["block", "dims"])
+
+    chosen = blocks.select("block", "dims", *columns)
+    names: dict[int, list] = {}
+    for row in chosen.mapInArrow(write, chosen.select("block", "dims").schema).orderBy("dims", "block").collect():
+        names.setdefault(row["dims"], []).append(row["block"])
+    return folder, names
+
+
+def kept_block(folder: str, block, columns: list[str]) -> dict[str, bytes]:
+    """One block of ``keep_blocks``."""
+    return {name: map_array(folder, f"{block}-{name}").tobytes() for name in columns}
+
+
+def in_groups(batches, size: int):
+    """Rows of record batches as lists of at most ``size`` dictionaries."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, size):
+            yield batch.slice(start, size).to_pylist()

@@ -10,12 +10,15 @@ vectors. Scores are whole numbers.
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from docproof.llm.support import ship_package, stored
+from docproof.llm.support import in_groups, keep_blocks, kept_block, ship_package, stored
 from docproof.llm.vectors import is_finite_vector, matrix, unpack
 
 # Rows that the rotation is fitted on, taken by the order of a hash of their ids.
 SAMPLE = 4096
 ITEMS, QUERIES, HEAD = 4096, 1024, 24
+# Blocks of vectors that a task holds at a time.
+GROUP = 16
+Q_COLUMNS = ["q_ids", "q_rows", "floors"]
 # Doubles hold whole products exactly below this.
 EXACT = 2.0**52
 
@@ -79,7 +82,7 @@ def fit_rotation(sample: np.ndarray) -> np.ndarray:
     return np.linalg.svd(sample, full_matrices=True)[2].T
 
 
-def _search(k: int, rotations: dict[int, np.ndarray]):
+def _search(k: int, rotations: dict[int, np.ndarray], folder: str, names: dict[int, list[str]]):
     import pyarrow as pa
 
     def bounds(rows, rotation):
@@ -87,36 +90,52 @@ def _search(k: int, rotations: dict[int, np.ndarray]):
         head, rest = turned[:, :HEAD], np.linalg.norm(turned[:, HEAD:], axis=1)
         return head, rest, np.linalg.norm(rows, axis=1)
 
+    def turned(row, rotation):
+        """A block of items, longest first, with what bounds their products."""
+        ids = np.frombuffer(row["ids"], np.int64)
+        items = unpack(row["rows"], len(ids))
+        head, rest, norm = bounds(items, rotation)
+        order = np.argsort(-norm, kind="stable")
+        return [values[order] for values in (ids, items, head, rest, norm)]
+
+    def search(block, item_blocks, rotation):
+        """The k best of a few item blocks for each query of a block; each one raises the floors for the next."""
+        q_ids, floors = np.frombuffer(block["q_ids"], np.int64), np.frombuffer(block["floors"], np.float64).copy()
+        queries = unpack(block["q_rows"], len(q_ids))
+        q_head, q_rest, q_norm = bounds(queries, rotation)
+        best = {}
+        for ids, items, head, rest, norm in item_blocks:
+            slack = 1e-9 * (1 + q_norm * norm.max(initial=0)) + 0.5
+            # Lengths are sorted, so everything after the first too short vector is too short as well.
+            ends = np.searchsorted(-norm, -(floors - slack) / np.maximum(q_norm, 1e-300), side="right")
+            ends = np.where((floors > 0) & (q_norm > 0), ends, len(ids))
+            upto = int(ends.max(initial=0))
+            upper = q_head @ head[:upto].T + np.outer(q_rest, rest[:upto]) + slack[:, None]
+            possible = (upper >= floors[:, None]) & (np.arange(upto) < ends[:, None])
+            wanted = np.flatnonzero(possible.any(axis=0))
+            if not len(wanted):
+                continue
+            exact, wanted_ids = scores(items[wanted], queries), ids[wanted]
+            for i in np.flatnonzero((exact >= floors[:, None]).any(axis=1)):
+                keep = np.flatnonzero((exact[i] >= floors[i]) & (wanted_ids != q_ids[i]))
+                had_ids, had_scores = best.get(i, (wanted_ids[:0], exact[i][:0]))
+                all_ids = np.concatenate([had_ids, wanted_ids[keep]])
+                all_scores = np.concatenate([had_scores, exact[i][keep]])
+                places = _best(all_scores, all_ids, k)
+                best[i] = all_ids[places], all_scores[places]
+                if len(places) == k:
+                    floors[i] = max(floors[i], float(all_scores[places[-1]]))
+        found = [(np.full(len(ids), q_ids[i]), ids, values) for i, (ids, values) in best.items()]
+        columns = [np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)] or [np.empty(0, np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                queries, items = unpack(row["q_rows"], len(q_ids)), unpack(row["rows"], len(ids))
-                floors = np.frombuffer(row["floors"], np.float64) if row["floors"] else np.full(len(q_ids), -np.inf)
-                rotation = rotations.get(row["dims"], np.eye(row["dims"]))
-                q_head, q_rest, q_norm = bounds(queries, rotation)
-                head, rest, norm = bounds(items, rotation)
-                order = np.argsort(-norm, kind="stable")
-                ids, items, head, rest, norm = ids[order], items[order], head[order], rest[order], norm[order]
-                slack = 1e-9 * (1 + q_norm * norm.max(initial=0)) + 0.5
-                # Lengths are sorted, so everything after the first too short vector is too short as well.
-                ends = np.searchsorted(-norm, -(floors - slack) / np.maximum(q_norm, 1e-300), side="right")
-                ends = np.where((floors > 0) & (q_norm > 0), ends, len(ids))
-                out = [[], [], []]
-                upto = int(ends.max(initial=0))
-                upper = q_head @ head[:upto].T + np.outer(q_rest, rest[:upto]) + slack[:, None]
-                possible = (upper >= floors[:, None]) & (np.arange(upto) < ends[:, None])
-                wanted = np.flatnonzero(possible.any(axis=0))
-                exact = scores(items[wanted], queries) if len(wanted) else np.empty((len(q_ids), 0), np.int64)
-                wanted_ids = ids[wanted]
-                for i in range(len(q_ids)):
-                    keep = np.flatnonzero((exact[i] >= floors[i]) & (wanted_ids != q_ids[i]))
-                    places = keep[_best(exact[i][keep], wanted_ids[keep], k)]
-                    out[0].append(np.full(len(places), q_ids[i]))
-                    out[1].append(wanted_ids[places])
-                    out[2].append(exact[i][places])
-                columns = [pa.array(np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64)) for c in out]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+        for rows in in_groups(batches, GROUP):
+            for dims in sorted({row["dims"] for row in rows} & names.keys()):
+                rotation = rotations.get(dims, np.eye(dims))
+                item_blocks = [turned(row, rotation) for row in rows if row["dims"] == dims]
+                for name in names[dims]:
+                    yield search(kept_block(folder, name, Q_COLUMNS), item_blocks, rotation)
 
     return run
 
@@ -158,7 +177,8 @@ def top_products(
     the smallest vector. An empty table gives an empty result; other columns are ignored.
     Products beyond 64 bits raise an error.
 
-    All queries meet all blocks of vectors, block by block; a task holds one block of each.
+    All queries meet all blocks of vectors; a task holds a few blocks of vectors and one of queries, which
+    it reads from the shared folder, so queries are neither shuffled nor broadcast for each block they meet.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -170,23 +190,22 @@ def top_products(
     )
     rows = stored(good, "vectors")
     n_parts = max(1, rows.count() // ITEMS)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
+    # Stored first: the driver merges the rows of every task of a sorted limit that it collects.
+    sample = stored(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v"), "sample").toPandas()["v"]
     rotations = {}
     for dims in {len(v) for v in sample}:
         rotations[dims] = fit_rotation(np.floor(256.0 * np.stack([np.asarray(v, np.float64) for v in sample if len(v) == dims])))
     columns = "dims int, ids binary, rows binary"
     order = [F.desc("norm"), F.asc("vec_id")]
     dealt = rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).select("vec_id", "v")
-    items = stored(dealt.mapInArrow(_blocks(ITEMS), columns).withColumn("part", F.spark_partition_id()), "items")
+    items = stored(dealt.mapInArrow(_blocks(ITEMS), columns), "items")
     longest = rows.orderBy(*order).limit(ITEMS).coalesce(1).select("vec_id", "v").mapInArrow(_blocks(ITEMS), columns)
     queries = rows.filter(is_query).select("vec_id", "v").mapInArrow(_blocks(QUERIES), columns)
     queries = queries.select("dims", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
     seeded = queries.join(stored(longest, "longest"), "dims", "left").select("dims", "q_ids", "q_rows", "ids", "rows")
     blocks = stored(seeded.mapInArrow(_with_floors(k), "dims int, q_ids binary, q_rows binary, floors binary"), "queries")
-    met = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))).join(items, ["part", "dims"])
-    found = met.select("dims", "q_ids", "q_rows", "floors", "ids", "rows").mapInArrow(
-        _search(k, rotations), "query_id long, vec_id long, score long"
-    )
+    folder, names = keep_blocks(blocks.withColumn("block", F.sha2("q_ids", 256)), Q_COLUMNS, "query-blocks")
+    found = items.mapInArrow(_search(k, rotations, folder, names), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -57,3 +57,14 @@ def test_ties_go_to_smaller_ids_and_empty_table(spark):
 def test_whole_products_beyond_double_precision():
     big = np.array([[2.0**30 + 1, 2.0**30], [1.0, 0.0]])
     assert top_products.scores(big, big)[0].tolist() == [(2**30 + 1) ** 2 + 2**60, 2**30 + 1]
+
+
+def test_query_blocks_are_not_copied_for_each_block_of_vectors(spark, monkeypatch):
+    monkeypatch.setattr(top_products, "ITEMS", 16)
+    monkeypatch.setattr(top_products, "QUERIES", 8)
+    monkeypatch.setattr(top_products, "GROUP", 2)
+    data = rows(seed=4)
+    found = search(table(spark, data), "vec_id % 10 = 0")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan and "Join" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == brute(data, 10, 5)
