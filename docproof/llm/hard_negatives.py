@@ -13,10 +13,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docproof.llm.integers import longs, narrow, whole, widen
-from docproof.llm.support import join_hot, ship_package, stored
+from docproof.llm.support import in_groups, join_hot, keep_blocks, kept_block, ship_package, stored
 from docproof.llm.vectors import is_finite_vector
 
 ITEMS, ANCHORS = 4096, 512
+# Blocks of rows that a task holds at a time.
+GROUP = 16
 # Bits of a word that hold fields; the sign bit stays free.
 WORD = 63
 # Stands for a positive that an anchor with fewer of them does not have.
@@ -125,61 +127,77 @@ def _found(rows: list[tuple], names: list[str]):
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
-def _each_pair(batches):
-    """(block of anchors, block of items) of every joined row, one at a time."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            yield {name: batch.column(name)[at].as_py() for name in batch.schema.names}
-
-
-def _positives(k: int):
-    """The k best rows of the same label, of each anchor in each block that it meets."""
+def _first(found: list[tuple], k: int):
+    """Of rows (group columns, id, score) the k highest scores of each group, ties to the smaller id."""
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+    if not columns or not len(columns[0]):
+        return columns and [tuple(columns)]
+    *groups, ids, values = columns
+    order = np.lexsort((ids, -values, *reversed(groups)))
+    columns = [c[order] for c in columns]
+    changes = np.any([g[1:] != g[:-1] for g in columns[: len(groups)]], axis=0)
+    starts = np.concatenate([[0], np.flatnonzero(changes) + 1])
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff([*starts, len(order)]))
+    return [tuple(c[rank < k] for c in columns)]
+
+
+def _positives(k: int, folder: str):
+    """The k best rows of the same label, of each anchor in the blocks that it meets."""
+
+    def meet(anchor, row, k):
+        ids, labels = longs(row["ids"]), longs(row["labels"])
+        a_ids, a_labels = longs(anchor["ids"]), longs(anchor["labels"])
+        items, anchors = widen(row["rows"], len(ids)), widen(anchor["rows"], len(a_ids))
+        for label in np.unique(a_labels):
+            mine, own = np.flatnonzero(a_labels == label), np.flatnonzero(labels == label)
+            scores = packed_scores(items[own], anchors[mine])
+            for i, line in zip(mine, scores, strict=True):
+                others = ids[own] != a_ids[i]
+                places = _best(line[others], ids[own][others], k)
+                yield np.full(len(places), a_ids[i]), ids[own][others][places], line[others][places]
 
     def run(batches):
-        for row in _each_pair(batches):
-            ids, labels = longs(row["ids"]), longs(row["labels"])
-            a_ids, a_labels = longs(row["a_ids"]), longs(row["a_labels"])
-            items, anchors = widen(row["rows"], len(ids)), widen(row["a_rows"], len(a_ids))
-            found = []
-            for label in np.unique(a_labels):
-                mine, own = np.flatnonzero(a_labels == label), np.flatnonzero(labels == label)
-                scores = packed_scores(items[own], anchors[mine])
-                for i, line in zip(mine, scores, strict=True):
-                    others = ids[own] != a_ids[i]
-                    places = _best(line[others], ids[own][others], k)
-                    found.append((np.full(len(places), a_ids[i]), ids[own][others][places], line[others][places]))
-            yield _found(found, ["anchor_id", "positive_id", "positive_score"])
+        for rows in in_groups(batches, GROUP):
+            for block in sorted({block for row in rows for block in row["a_blocks"]}):
+                anchor = kept_block(folder, block, COLUMNS)
+                found = [piece for row in rows if block in row["a_blocks"] for piece in meet(anchor, row, k)]
+                yield _found(_first(found, k), ["anchor_id", "positive_id", "positive_score"])
 
     return run
 
 
-def _negatives(k: int, low: int, high: int):
-    """The k best rows of other labels in reach of each positive, of each anchor in each block."""
+def _negatives(k: int, low: int, high: int, folder: str, names: dict[int, list[int]]):
+    """The k best rows of other labels in reach of each positive, of each anchor in the blocks of a task."""
+
+    def meet(anchor, row):
+        ids, labels = longs(row["ids"]), longs(row["labels"])
+        a_ids, a_labels = longs(anchor["ids"]), longs(anchor["labels"])
+        p_ids, p_scores = (longs(anchor[c]).reshape(len(a_ids), -1) for c in ("p_ids", "p_scores"))
+        scores = packed_scores(widen(row["rows"], len(ids)), widen(anchor["rows"], len(a_ids)))
+        for i, line in enumerate(scores):
+            others = np.flatnonzero(labels != a_labels[i])
+            values = line[others]
+            for at in np.flatnonzero(p_ids[i] != NOBODY):
+                positive = int(p_scores[i, at])
+                reach = (values >= -(-low * positive // 100)) & (values <= high * positive // 100)
+                places = others[reach][_best(values[reach], ids[others[reach]], k)]
+                n = len(places)
+                yield np.full(n, a_ids[i]), np.full(n, p_ids[i, at]), np.full(n, positive), ids[places], line[places]
 
     def run(batches):
-        for row in _each_pair(batches):
-            ids, labels = longs(row["ids"]), longs(row["labels"])
-            a_ids, a_labels = longs(row["a_ids"]), longs(row["a_labels"])
-            p_ids, p_scores = (longs(row[c]).reshape(len(a_ids), -1) for c in ("p_ids", "p_scores"))
-            scores = packed_scores(widen(row["rows"], len(ids)), widen(row["a_rows"], len(a_ids)))
-            found = []
-            for i, line in enumerate(scores):
-                others = np.flatnonzero(labels != a_labels[i])
-                values = line[others]
-                for at in np.flatnonzero(p_ids[i] != NOBODY):
-                    positive = int(p_scores[i, at])
-                    reach = (values >= -(-low * positive // 100)) & (values <= high * positive // 100)
-                    places = others[reach][_best(values[reach], ids[others[reach]], k)]
-                    n = len(places)
-                    found.append((np.full(n, a_ids[i]), np.full(n, p_ids[i, at]), np.full(n, positive), ids[places], line[places]))
-            yield _found(found, ["anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"])
+        for rows in in_groups(batches, GROUP):
+            for dims in sorted({row["dims"] for row in rows} & names.keys()):
+                for block in names[dims]:
+                    anchor = kept_block(folder, block, [*COLUMNS, *LISTS])
+                    found = [piece for row in rows if row["dims"] == dims for piece in meet(anchor, row)]
+                    yield _found(_first(found, k), ["anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"])
 
     return run
 
 
 BLOCK = "part int, block long, dims int, ids binary, labels binary, rows binary"
 COLUMNS = ["ids", "labels", "rows"]
-A_COLUMNS = [f"a_{c}" for c in COLUMNS]
+LISTS = ["p_ids", "p_scores"]
 
 
 def _dealt(rows: DataFrame, size: int) -> DataFrame:
@@ -189,11 +207,6 @@ def _dealt(rows: DataFrame, size: int) -> DataFrame:
     return ordered.select("vec_id", "label", "v", *[c for c in rows.columns if c not in ("vec_id", "label", "v")])
 
 
-def _of_anchors(blocks: DataFrame, others: list[str]) -> DataFrame:
-    renamed = [F.col(c).alias(f"a_{c}") for c in ("block", *COLUMNS)]
-    return blocks.select("dims", *renamed, *others)
-
-
 def hard_negatives(
     vectors: DataFrame,
     is_anchor: str,
@@ -219,8 +232,9 @@ def hard_negatives(
     smallest (label, vector). An empty table gives an empty result, other columns are ignored.
     Products beyond 64 bits raise an error.
 
-    Blocks are range-partitioned by label and id, so a label of any size is spread over tasks, and a
-    task holds one block of anchors and one of rows at a time.
+    Blocks are range-partitioned by label and id, so a label of any size is spread over tasks. A task holds
+    a few blocks of rows and one of anchors, which it reads from the shared folder, so anchors are neither
+    shuffled nor broadcast for each block they meet.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -240,20 +254,20 @@ def hard_negatives(
     )
     asked = asked.select(F.col("block").alias("a_block"), "dims", "label")
     pairs = join_hot(asked, held.drop("part"), ["label", "dims"], "a_block").select("a_block", "block").distinct()
-    near = pairs.join(_of_anchors(blocks, []), "a_block").join(items, ["block", "dims"])
-    found = near.select(*A_COLUMNS, *COLUMNS).mapInArrow(_positives(positives), "anchor_id long, positive_id long, positive_score long")
+    met = pairs.groupBy("block").agg(F.sort_array(F.collect_list("a_block")).alias("a_blocks"))
+    near = items.join(met, "block").select("a_blocks", *COLUMNS)
+    folder, _ = keep_blocks(blocks, COLUMNS, "anchor-blocks")
+    found = near.mapInArrow(_positives(positives, folder), "anchor_id long, positive_id long, positive_score long")
     best = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     chosen = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= positives)
     lists = chosen.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("rank", "positive_id", "positive_score"))).alias("p"))
     lists = lists.select(F.col("anchor_id").alias("vec_id"), F.col("p.positive_id").alias("p_ids"), F.col("p.positive_score").alias("p_scores"))
 
-    widths = {"p_ids": positives, "p_scores": positives}
+    widths = dict.fromkeys(LISTS, positives)
     ready = _dealt(anchors.join(lists, "vec_id"), ANCHORS).mapInArrow(_blocks(ANCHORS, scale, widths), f"{BLOCK}, p_ids binary, p_scores binary")
-    last = items.agg(F.max("part")).first()[0]
-    every = F.explode(F.sequence(F.lit(0), F.lit(last or 0)))
-    met = _of_anchors(stored(ready, "positives"), list(widths)).withColumn("part", every).join(items, ["part", "dims"])
-    far = met.select(*A_COLUMNS, *widths, *COLUMNS).mapInArrow(
-        _negatives(negatives, low, high),
+    folder, names = keep_blocks(stored(ready, "positives"), [*COLUMNS, *LISTS], "positive-blocks")
+    far = items.select("dims", *COLUMNS).mapInArrow(
+        _negatives(negatives, low, high, folder, names),
         "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long",
     )
     order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")

@@ -65,3 +65,14 @@ def test_products_beyond_64_bits_are_refused():
     huge = np.full((2, 4), 1 << 40)
     with pytest.raises(ValueError, match="64 bits"):
         H.packed_scores(huge, huge)
+
+
+def test_anchor_blocks_are_not_copied_for_each_block_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(H, "ITEMS", 16)
+    monkeypatch.setattr(H, "ANCHORS", 5)
+    monkeypatch.setattr(H, "GROUP", 2)
+    data = rows(seed=5)
+    found = H.hard_negatives(table(spark, data), "vec_id % 10 = 0", 3, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan and "Join" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == brute(data, 10, 3, 4)
